@@ -37,3 +37,10 @@ def ship(spark: SparkSession) -> None:
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash with our own."""
     return df.select(*[df[c] for c in columns])
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public vocabulary file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

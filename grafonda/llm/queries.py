@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from grafonda.llm import near_dedup
+from grafonda.llm import near_dedup, packing, quality, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op2_near_dedup": near_dedup.query,
+    "op3_quality": quality.query,
+    "op4_packing": packing.query,
+    "op7_sentencepiece": sentencepiece_codec.query,
+    "op9_token_counts": token_counts.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_quality": quality.ORACLE_SQL,
+}
