@@ -185,7 +185,7 @@ def segment(ufunc: np.ufunc, values: np.ndarray, first: np.ndarray, empty: int =
 
 
 class MinHash:
-    """Signatures by multiply-add permutations of 64-bit shingle hashes, kept to 32 bits each."""
+    """Signatures by multiply-add permutations of 64-bit shingle hashes, folded to 32 bits each."""
 
     def __init__(self, size: int, seed: int = 1) -> None:
         self.size = size
@@ -202,7 +202,9 @@ class MinHash:
                 for k in range(self.size):
                     np.multiply(values, self.a[k], out=work)
                     work += self.b[k]
-                    out[full, k] = np.minimum.reduceat(work, at) >> _U(32)
+                    low = np.minimum.reduceat(work, at)
+                    # the leading bits of a minimum are nearly constant: fold both halves
+                    out[full, k] = (low ^ (low >> _U(32))) & _U(0xFFFFFFFF)
         return out
 
 
