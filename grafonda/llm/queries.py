@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from grafonda.llm import near_dedup, packing, quality, sentencepiece_codec, token_counts
+from grafonda.llm import fingerprints, langid, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op2_near_dedup": near_dedup.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,
+    "op5_langid": langid.query,
     "op7_sentencepiece": sentencepiece_codec.query,
+    "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
+    "op10_fingerprints": fingerprints.query,
 }
 
 ORACLE_SQL = {
