@@ -4,38 +4,101 @@ For a vocabulary whose pieces never cross white space, the ids of a text are the
 ids of its chunks one after another, so that each distinct chunk is encoded once
 per worker.  The cache has two generations of bounded size: when the young one is
 full it becomes the old one, and what is still in use moves back on its next hit.
+Ids are kept as the bytes of little-endian unsigned 32-bit numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
+#: Stands for a line feed among ids.
+FEED = b"\xff\xff\xff\xff"
+
 
 class ChunkCache:
-    """Maps chunks to arrays of ids; `encode` gets the list of chunks that are not known."""
+    """Maps chunks to their ids; `encode` gets the list of chunks that are not known."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 150_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = 300_000) -> None:
         self.encode, self.most = encode, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, chunks: list[str]) -> np.ndarray:
-        """uint32 ids of the chunks, joined."""
+    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
+        """A map that holds all of the chunks until the next call."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = {c for c in chunks if c not in young}
+        missing = set(chunks).difference(young)
         if missing:
-            new = []
-            for c in missing:
-                got = old.get(c)
-                if got is None:
-                    new.append(c)
-                else:
-                    young[c] = got
-            if new:
-                for c, ids in zip(new, self.encode(new), strict=True):
-                    young[c] = np.array(ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([young[c] for c in chunks]), "<u4")
+            again = missing.intersection(old)
+            for c in again:
+                young[c] = old[c]
+            new = list(missing - again) if again else list(missing)
+            young.update(zip(new, self.encode(new), strict=True))
+        return young
+
+
+def numbers(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u4")
+
+
+def cut_after(raw: bytes, ends: np.ndarray, drop: int = 0) -> list[bytes]:
+    """The ids up to and with each position in `ends`, less the last `drop` of them."""
+    stops = ((ends + 1) * 4).tolist()
+    return [raw[a : b - 4 * drop] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+
+class WordPieces:
+    """Chunk encoder for a lower-casing vocabulary with word-end marks.
+
+    Chunks are split into the words and symbols that the vocabulary's own pattern
+    finds, so that `word`, `Word` and `word,` share one entry of a second cache; the
+    new ones are encoded many at a time, and word-end marks tell where each ends.
+    Chunks with letters whose lower case depends on context, with a special token's
+    string or not in normal form go to the library as they are.
+    """
+
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
+    ODD = ("İ", "Σ", "<|")
+
+    def __init__(self, path: str, many: int = 64) -> None:
+        import regex
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.many = Tokenizer.from_file(path), many
+        self.find = regex.compile(self.PATTERN).findall
+        vocab = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        for token, i in vocab.items():
+            self.is_end[i] = token.endswith("</w>")
+        self.words = ChunkCache(self._encode_words)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + self.many] for i in range(0, len(words), self.many)]
+        for group, raw in zip(groups, self._plain([" ".join(g) for g in groups]), strict=True):
+            ends = np.flatnonzero(self.is_end[numbers(raw)])
+            whole = len(ends) == len(group) and 4 * (ends[-1] + 1) == len(raw) and "\n" not in group
+            out += cut_after(raw, ends) if whole else [FEED if w == "\n" else self._plain([w])[0] for w in group]
+        return out
+
+    def _is_odd(self, text: str) -> bool:
+        return any(x in text for x in self.ODD) or not (text.isascii() or unicodedata.is_normalized("NFC", text))
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        joined = "\n".join(chunks)
+        if self._is_odd(joined):
+            odd = {c: raw for c in chunks if self._is_odd(c) for raw in self._plain([c])}
+            if odd or len(chunks) == 1:
+                rest = [c for c in chunks if c not in odd]
+                odd |= dict(zip(rest, self(rest), strict=True)) if rest else {}
+                return [odd[c] for c in chunks]
+        found = self.find(joined.lower() + "\n")
+        raw = b"".join(map(self.words.learn(found).__getitem__, found))
+        return cut_after(raw, np.flatnonzero(numbers(raw) == 0xFFFFFFFF), drop=1)

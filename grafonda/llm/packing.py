@@ -17,14 +17,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.chunks import ChunkCache
+from grafonda.llm.chunks import ChunkCache, WordPieces, numbers
 from grafonda.llm.common import read, require, ship, tokenizer_path
 from grafonda.plans.scratch import cut
 
@@ -74,10 +74,7 @@ class OpenBins:
 
 @lru_cache(maxsize=2)
 def _cache(path: str) -> ChunkCache:
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    return ChunkCache(lambda new: [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+    return ChunkCache(WordPieces(path))
 
 
 def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) -> DataFrame:
@@ -88,7 +85,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
 
         cache, bins = _cache(path), OpenBins(size, places)
         base = TaskContext.get().partitionId() << 33
-        end = np.array([end_id], "<u4")
+        end = end_id.to_bytes(4, "little")
         rows: list[tuple] = []
         held: dict[int, list[tuple]] = {}  # rows of bins that may still be open
 
@@ -100,8 +97,10 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
 
         for whole in batches:
             for part in T.slices(whole, "text"):
-                for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = np.concatenate([cache.ids((text or "").split()), end])
+                chunks = [(text or "").split() for text in part.column("text").to_pylist()]
+                known = cache.learn(chain.from_iterable(chunks)).__getitem__
+                for doc, own in zip(part.column("id").to_pylist(), chunks, strict=True):
+                    ids = numbers(b"".join([*map(known, own), end]))
                     for piece, start in enumerate(range(0, len(ids), size)):
                         chunk = ids[start : start + size]
                         name, offset = bins.put(len(chunk))
