@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from grafonda.llm import fingerprints, langid, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts
+from grafonda.llm import fingerprints, langid, licenses, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op2_near_dedup": near_dedup.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,
     "op5_langid": langid.query,
+    "op6_licenses": licenses.query,
     "op7_sentencepiece": sentencepiece_codec.query,
     "op8_secrets": secrets.query,
     "op9_token_counts": token_counts.query,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_quality": quality.ORACLE_SQL,
+    "op6_licenses": licenses.ORACLE_SQL,
 }
