@@ -9,6 +9,7 @@ Ids are kept as the bytes of little-endian unsigned 32-bit numbers.
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable, Iterable
 
@@ -64,11 +65,17 @@ class WordPieces:
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
     ODD = ("İ", "Σ", "<|")
 
-    def __init__(self, path: str, many: int = 64) -> None:
+    def __init__(self, path: str, many: int = 256) -> None:
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer, self.many = Tokenizer.from_file(path), many
+        with open(path) as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        #: the same model for words that are already normal, lower-case and split; new words do not repeat, so it keeps no cache
+        self.bare = Tokenizer(models.BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.find = regex.compile(self.PATTERN).findall
         vocab = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
@@ -77,12 +84,16 @@ class WordPieces:
         self.words = ChunkCache(self._encode_words)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._raw(self.tokenizer, texts)
+
+    @staticmethod
+    def _raw(tokenizer, texts: list[str]) -> list[bytes]:  # noqa: ANN001
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         out: list[bytes] = []
         groups = [words[i : i + self.many] for i in range(0, len(words), self.many)]
-        for group, raw in zip(groups, self._plain([" ".join(g) for g in groups]), strict=True):
+        for group, raw in zip(groups, self._raw(self.bare, [" ".join(g) for g in groups]), strict=True):
             ends = np.flatnonzero(self.is_end[numbers(raw)])
             whole = len(ends) == len(group) and 4 * (ends[-1] + 1) == len(raw) and "\n" not in group
             out += cut_after(raw, ends) if whole else [FEED if w == "\n" else self._plain([w])[0] for w in group]

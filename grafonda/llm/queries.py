@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from grafonda.llm import fingerprints, langid, licenses, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts
+from grafonda.llm import fingerprints, html_blocks, langid, licenses, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts
 
 QUERIES = {
+    "op1_html_blocks": html_blocks.query,
     "op2_near_dedup": near_dedup.query,
     "op3_quality": quality.query,
     "op4_packing": packing.query,

@@ -142,6 +142,8 @@ class Codec:
         self.by_chunk = plain and not inner
         self.chunk = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
         self.tail = build(self.model, prefix=False)
+        if self.by_chunk:
+            self.tail.normalizer = None  # chunks are marked already
         self.differences = 0
         #: pairs of neighbouring characters inside pieces: no merge crosses any other pair
         self.joins = {t[i : i + 2] for t, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED) for i in range(len(t) - 1)}
