@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -27,19 +28,35 @@ class ChunkCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """A map that holds all of the chunks until the next call."""
+    def look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk; one pass over the chunks, a second one over those not known."""
         if len(self.young) > self.most:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = set(chunks).difference(young)
-        if missing:
-            again = missing.intersection(old)
-            for c in again:
-                young[c] = old[c]
-            new = list(missing - again) if again else list(missing)
-            young.update(zip(new, self.encode(new), strict=True))
-        return young
+        got: list = list(map(young.get, chunks))
+        holes = [i for i, ids in enumerate(got) if ids is None]
+        if holes:
+            new = []
+            for c in {chunks[i] for i in holes}:
+                ids = old.get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    young[c] = ids
+            if new:
+                young.update(zip(new, self.encode(new), strict=True))
+            for i in holes:
+                got[i] = young[chunks[i]]
+        return got
+
+    def texts(self, chunks: list[list[str]]) -> list[bytes]:
+        """Ids of each list of chunks."""
+        got = self.look_up(list(chain.from_iterable(chunks)))
+        out, at = [], 0
+        for c in chunks:
+            out.append(b"".join(got[at : at + len(c)]))
+            at += len(c)
+        return out
 
 
 def numbers(raw: bytes) -> np.ndarray:
@@ -111,5 +128,5 @@ class WordPieces:
                 odd |= dict(zip(rest, self(rest), strict=True)) if rest else {}
                 return [odd[c] for c in chunks]
         found = self.find(joined.lower() + "\n")
-        raw = b"".join(map(self.words.learn(found).__getitem__, found))
+        raw = b"".join(self.words.look_up(found))
         return cut_after(raw, np.flatnonzero(numbers(raw) == 0xFFFFFFFF), drop=1)

@@ -17,7 +17,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -98,9 +97,8 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
         for whole in batches:
             for part in T.slices(whole, "text"):
                 chunks = [(text or "").split() for text in part.column("text").to_pylist()]
-                known = cache.learn(chain.from_iterable(chunks)).__getitem__
-                for doc, own in zip(part.column("id").to_pylist(), chunks, strict=True):
-                    ids = numbers(b"".join([*map(known, own), end]))
+                for doc, own in zip(part.column("id").to_pylist(), cache.texts(chunks), strict=True):
+                    ids = numbers(own + end)
                     for piece, start in enumerate(range(0, len(ids), size)):
                         chunk = ids[start : start + size]
                         name, offset = bins.put(len(chunk))

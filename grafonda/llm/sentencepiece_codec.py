@@ -23,7 +23,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -181,8 +180,7 @@ class Codec:
         """Ids of new chunks; a last character that no piece joins to the one before it is looked up alone."""
         joins = self.joins
         split = [(c, "") if len(c) < 3 or c[-2:] in joins else (c[:-1], c[-1]) for c in chunks]
-        known = self.parts.learn(p for pair in split for p in pair if p)
-        return [known[a] + known[b] if b else known[a] for a, b in split]
+        return self.parts.texts([[a, b] if b else [a] for a, b in split])
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -190,8 +188,7 @@ class Codec:
             return [np.array(x, "<u4") for x in self.native.encode(texts)]
         front = MARK if self.model["dummy_prefix"] else ""
         chunks = [self.chunk.findall(front + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.cache.learn(chain.from_iterable(chunks)).__getitem__
-        return [numbers(b"".join(map(known, c))) for c in chunks]
+        return [numbers(raw) for raw in self.cache.texts(chunks)]
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_all([text])[0]
