@@ -1,6 +1,323 @@
-"""Registered queries of the graph engine and their SQL."""
+"""Registered queries of the graph engine and their SQL.
+
+The graphs come from the relational tables: parts bought together in large lines
+(undirected, weighted by a formula of the ids), customers and suppliers that trade
+(bipartite), and users that follow each other in the event stream (directed).
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from grafonda.functions import bits, orderings
+from grafonda.operators import checks, components, cores, independent, ranks, summaries, traversal, triangles
+from grafonda.operators.graph import Graph
+from grafonda.plans.fixpoint import WorkStats
+from grafonda.plans.scratch import cut, shared_dir
+from grafonda.sources import generators, readers, writers
+from grafonda.streaming.ingest import ComponentStream
+
+#: Least quantity of the lines that make the co-purchase graph.
+LARGE = 40
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pairs(spark: SparkSession, sf_dir: str, least: int = LARGE) -> DataFrame:
+    """(a, b): parts of one order, both in lines of that quantity or more, a < b."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+    x = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("a"))
+    y = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("b"))
+    return x.join(y, "o").where("a < b").select("a", "b").distinct()
+
+
+def purchases(spark: SparkSession, sf_dir: str, least: int = LARGE) -> Graph:
+    weight = (1 + (F.col("a") * 31 + F.col("b") * 17) % 100).cast("int")
+    arcs = pairs(spark, sf_dir, least).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("weight"))
+    graph = Graph.from_edges(arcs, table(spark, sf_dir, "part").select("p_partkey"), weight="weight").symmetrize()
+    return Graph(graph.vertices, cut(graph.edges))
+
+
+def transitions(spark: SparkSession, sf_dir: str) -> Graph:
+    """Distinct arcs from a user to the next user in the stream."""
+    hour = F.date_trunc("day", "ts")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", hour.alias("day"))
+    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
+    arcs = e.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("dst is not null and src <> dst").distinct()
+    return Graph.from_edges(arcs)
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, weight): supplier ids (from 1,000,000), customer ids, lines of quantity 49 or more."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return both.groupBy((F.col("l_suppkey") + 1_000_000).alias("src"), F.col("o_custkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
+
+
+def first_source(graph: Graph) -> DataFrame:
+    """The smallest vertex with an arc."""
+    return graph.edges.agg(F.min("src").alias("id"))
+
+
+PAIRS_SQL = f"""u AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey
+  WHERE x.l_quantity >= {LARGE} AND y.l_quantity >= {LARGE})"""
+GRAPH_SQL = f"""{PAIRS_SQL},
+e AS (SELECT a AS src, b AS dst, (1 + (a * 31 + b * 17) % 100)::INT AS weight FROM u UNION ALL SELECT b, a, (1 + (a * 31 + b * 17) % 100)::INT FROM u),
+v AS (SELECT p_partkey AS id FROM part)"""
+TRANS_SQL = """t0 AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events),
+e AS (SELECT DISTINCT src, dst FROM t0 WHERE dst IS NOT NULL AND src <> dst),
+v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
+TRADE_SQL = """e AS (SELECT l_suppkey + 1000000 AS src, o_custkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2)"""
+BFS_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+r(id, level) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 24),
+best AS (SELECT id, min(level) AS level FROM r GROUP BY id)"""
+SSSP_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+r(id, dist) USING KEY (id) AS (
+  SELECT min(src) AS id, 0::BIGINT AS dist FROM e
+  UNION
+  SELECT id, dist FROM (SELECT e.dst AS id, min(r.dist + e.weight) AS dist FROM r JOIN e ON e.src = r.id GROUP BY e.dst) c
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS s WHERE s.id = c.id AND s.dist <= c.dist))"""
+CC_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
+r(id, component) USING KEY (id) AS (
+  SELECT id, id AS component FROM v
+  UNION
+  SELECT id, component FROM (SELECT e.dst AS id, min(r.component) AS component FROM r JOIN e ON e.src = r.id GROUP BY e.dst) c
+  WHERE EXISTS (SELECT 1 FROM recurring.r AS s WHERE s.id = c.id AND s.component > c.component))"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def add(name: str, function: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = function
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def on_purchases(function: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: function(purchases(spark, sf_dir))
+
+
+def with_graph(select: str) -> str:
+    return f"WITH {GRAPH_SQL} {select}"
+
+
+# -- triangles ------------------------------------------------------------------
+_T = f"WITH {PAIRS_SQL} SELECT count(*) AS triangles FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b"
+for _name, _count in (
+    ("tc_striped", triangles.striped), ("tc_psp", triangles.predecessors_of), ("tc_sps", triangles.middle), ("tc_sss", triangles.successors), ("tc_level", triangles.two_levels),
+):
+    add(_name, on_purchases(_count), _T)
+add("tc_enumerate", on_purchases(triangles.enumerate_triangles), f"WITH {PAIRS_SQL} SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b")
+add(
+    "tc_local_counts",
+    on_purchases(triangles.local_counts),
+    with_graph("""SELECT v.id, count(t.id) AS triangles FROM v LEFT JOIN (SELECT unnest([x.a, x.b, y.b]) AS id FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) t
+  ON t.id = v.id GROUP BY v.id"""),
+)
+
+# -- algebra --------------------------------------------------------------------
+add("src_parquet", lambda s, d: readers.parquet(s, f"{d}/lineitem.parquet", "l_orderkey", "l_partkey"), "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem")
+add("g_build", on_purchases(lambda g: g.edges), with_graph("SELECT * FROM e"))
+add("g_counts", on_purchases(lambda g: g.counts()), with_graph("SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e) AS n_edges"))
+add("g_degrees", lambda s, d: transitions(s, d).degrees(), f"WITH {TRANS_SQL} SELECT id, (SELECT count(*) FROM e WHERE src = id) AS out_degree, (SELECT count(*) FROM e WHERE dst = id) AS in_degree FROM v")
+add("g_out_degree", on_purchases(lambda g: g.out_degrees()), with_graph("SELECT id, count(src) AS out_degree FROM v LEFT JOIN e ON src = id GROUP BY id"))
+add("g_in_degree", on_purchases(lambda g: g.in_degrees()), with_graph("SELECT id, count(dst) AS in_degree FROM v LEFT JOIN e ON dst = id GROUP BY id"))
+add("g_reverse", lambda s, d: transitions(s, d).reverse().edges, f"WITH {TRANS_SQL} SELECT dst AS src, src AS dst FROM e")
+add("g_symmetrize", lambda s, d: transitions(s, d).symmetrize().preprocess().edges, f"WITH {TRANS_SQL} SELECT src, dst FROM e UNION SELECT dst, src FROM e")
+add(
+    "g_preprocess",
+    lambda s, d: Graph.from_edges(readers.parquet(s, f"{d}/lineitem.parquet", "l_partkey", "l_suppkey")).preprocess().edges,
+    "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey",
+)
+add("g_out_edges", on_purchases(lambda g: g.out_edges(g.vertices.where("id % 10 = 3"))), with_graph("SELECT src, dst, weight FROM e WHERE src % 10 = 3"))
+add("g_adjacent", on_purchases(lambda g: g.adjacent().select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))),
+    with_graph("SELECT src AS id, string_agg(dst::VARCHAR, ',' ORDER BY dst) AS neighbours FROM (SELECT DISTINCT src, dst FROM e) GROUP BY src"))
+add(
+    "g_edge_lookup",
+    on_purchases(lambda g: g.has_edges(g.vertices.select(F.col("id").alias("src"), (F.col("id") * 7 % 1000 + 1).alias("dst")))),
+    with_graph("SELECT p.src, p.dst, count(e.src) AS n_arcs FROM (SELECT id AS src, id * 7 % 1000 + 1 AS dst FROM v) p LEFT JOIN e ON e.src = p.src AND e.dst = p.dst GROUP BY 1, 2"),
+)
+add("g_filter", on_purchases(lambda g: g.filter(F.col("weight") > 50, F.col("id") % 3 != 0).edges), with_graph("SELECT src, dst, weight FROM e WHERE weight > 50 AND src % 3 <> 0 AND dst % 3 <> 0"))
+add("g_filter_subset", on_purchases(lambda g: g.restrict(g.vertices.where("id < 500")).counts()), with_graph("SELECT (SELECT count(*) FROM v WHERE id < 500) AS n_vertices, (SELECT count(*) FROM e WHERE src < 500 AND dst < 500) AS n_edges"))
+add("g_filter_complement", on_purchases(lambda g: g.restrict(g.vertices.where("id < 500"), complement=True).counts()), with_graph("SELECT (SELECT count(*) FROM v WHERE id >= 500) AS n_vertices, (SELECT count(*) FROM e WHERE src >= 500 AND dst >= 500) AS n_edges"))
+add("g_local_subgraph", on_purchases(lambda g: g.local_subgraph(lambda x: F.pmod(x, F.lit(4))).edges), with_graph("SELECT src, dst, weight FROM e WHERE src % 4 = dst % 4"))
+add("g_remove_vertices", on_purchases(lambda g: g.remove_vertices(g.vertices.where("id % 5 = 0")).edges), with_graph("SELECT src, dst, weight FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0"))
+add("g_remove_edge_if", on_purchases(lambda g: g.remove_edge_if(F.col("weight") % 2 == 0).edges), with_graph("SELECT src, dst, weight FROM e WHERE weight % 2 <> 0"))
+add("g_clear_out_edges", on_purchases(lambda g: g.clear_vertices(g.vertices.where("id % 5 = 0"), into=False).edges), with_graph("SELECT src, dst, weight FROM e WHERE src % 5 <> 0"))
+add("g_add_edges", on_purchases(lambda g: g.add_edges(g.vertices.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))).counts()),
+    with_graph("SELECT (SELECT count(*) FROM (SELECT id FROM v UNION SELECT id + 1 FROM v)) AS n_vertices, (SELECT count(*) FROM e) + (SELECT count(*) FROM v) AS n_edges"))
+add("g_index", on_purchases(lambda g: g.index()), with_graph("SELECT id, row_number() OVER (ORDER BY id) - 1 AS lid FROM v"))
+add("id_vertical", on_purchases(lambda g: g.vertical_ids()), with_graph("SELECT id, id AS lid FROM v"))
+add("id_horizontal", on_purchases(lambda g: g.horizontal_ids(4)), with_graph("SELECT id, (id % b) * 4 + id // b AS lid FROM v, (SELECT ceil((max(id) + 1) / 4)::BIGINT AS b FROM v)"))
+add("id_degree", on_purchases(lambda g: g.degree_ids()), with_graph("SELECT id, row_number() OVER (ORDER BY n, id) - 1 AS lid FROM (SELECT id, count(src) AS n FROM v LEFT JOIN e ON src = id GROUP BY id)"))
+add("id_shuffle", on_purchases(lambda g: g.renumber(g.vertices.select("id", (F.col("id") * 3 + 1).alias("lid"))).edges), with_graph("SELECT src * 3 + 1 AS src, dst * 3 + 1 AS dst, weight FROM e"))
+add("redistribute", lambda s, d: (g := transitions(s, d)).redistribute(g.vertices.select("id", (-F.col("id")).alias("lid")), flip=True).edges, f"WITH {TRANS_SQL} SELECT -src AS src, -dst AS dst FROM e UNION ALL SELECT -dst, -src FROM e")
+
+# -- traversal ------------------------------------------------------------------
+_BFS = f"{BFS_SQL} SELECT v.id, best.level::INT AS level FROM v LEFT JOIN best ON best.id = v.id"
+for _name, _order in (("bfs_chaotic", orderings.chaotic()), ("bfs_level", orderings.level()), ("bfs_klevel", orderings.klevel(3))):
+    add(_name, on_purchases(lambda g, o=_order: traversal.bfs(g, first_source(g), o)), _BFS)
+add("bfs_max_level", on_purchases(lambda g: traversal.bfs(g, first_source(g), max_level=3)), f"{BFS_SQL} SELECT v.id, (CASE WHEN best.level <= 3 THEN best.level END)::INT AS level FROM v LEFT JOIN best ON best.id = v.id")
+add("bfs_predecessors", on_purchases(lambda g: traversal.predecessors(g, cut(traversal.bfs(g, first_source(g))))),
+    f"""{BFS_SQL} SELECT v.id, best.level::INT AS level, (SELECT min(e.src) FROM e JOIN best p ON p.id = e.src WHERE e.dst = v.id AND p.level = best.level - 1) AS parent
+FROM v LEFT JOIN best ON best.id = v.id""")
+add("reach", on_purchases(lambda g: traversal.reach(g, first_source(g))), f"{BFS_SQL} SELECT id FROM best")
+_SSSP = f"{SSSP_SQL} SELECT v.id, r.dist FROM v LEFT JOIN r ON r.id = v.id"
+add("sssp_chaotic", on_purchases(lambda g: traversal.sssp(g, first_source(g))), _SSSP)
+add("sssp_delta", on_purchases(lambda g: traversal.sssp_delta(g, first_source(g), 60)), _SSSP)
+add("sssp_kla", on_purchases(lambda g: traversal.sssp_kla(g, first_source(g), 4)), _SSSP)
+add("sssp_eager", on_purchases(lambda g: traversal.sssp_eager(g, first_source(g), 80)), _SSSP)
+add("sssp_visited_count", on_purchases(lambda g: summaries.visited(traversal.sssp(g, first_source(g)), "dist")), f"{SSSP_SQL} SELECT count(*) AS n_visited FROM r")
+
+
+def _work(graph: Graph) -> DataFrame:
+    stats = WorkStats()
+    traversal.bfs(graph, first_source(graph), orderings.level(), stats=stats)
+    return graph.vertices.sparkSession.createDataFrame([(stats.useful, stats.invalidated, stats.edges)], "useful long, invalidated long, edges long")
+
+
+add("work_stats", on_purchases(_work), f"{BFS_SQL} SELECT (SELECT count(*) FROM best) AS useful, 0::BIGINT AS invalidated, (SELECT count(*) FROM e JOIN best ON id = src) AS edges")
+
+# -- components -----------------------------------------------------------------
+_CC = f"{CC_SQL} SELECT id, component FROM r"
+add("cc", on_purchases(components.cc), _CC)
+add("cc_chaotic", on_purchases(components.cc_flood), _CC)
+add("cc_delta", on_purchases(lambda g: components.cc_flood(g, orderings.delta(500))), _CC)
+add("cc_level", on_purchases(lambda g: components.cc_flood(g, orderings.level())), _CC)
+add("cc_sv", on_purchases(components.cc_hook), _CC)
+add("cc_ps_sv", on_purchases(components.cc_flood_then_hook), _CC)
+add("cc_number_components", on_purchases(lambda g: components.number_components(cut(components.cc(g)))), f"{CC_SQL} SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS number FROM r")
+add("cc_stats", on_purchases(lambda g: components.component_sizes(cut(components.cc(g)), None)), f"{CC_SQL} SELECT component, count(*) AS size, round(100 * count(*) / (SELECT count(*) FROM v), 6) AS percent FROM r GROUP BY component")
+
+# -- sets, colours, cores -------------------------------------------------------
+_ROUNDS = 40
+
+
+def _decided(first: str, column: str, rule: str) -> str:
+    """Rounds of a decision over smaller neighbours, as chained tables."""
+    steps = [f"s0 AS MATERIALIZED (SELECT id, {first} AS {column} FROM v)"]
+    for i in range(1, _ROUNDS):
+        steps.append(f"s{i} AS MATERIALIZED (SELECT s.id, CASE WHEN s.{column} IS NOT NULL THEN s.{column} ELSE {rule} END AS {column} FROM s{i - 1} s LEFT JOIN (SELECT l.b AS id, list(n.{column}) AS seen FROM u l JOIN s{i - 1} n ON n.id = l.a GROUP BY l.b) m ON m.id = s.id)")
+    return f"WITH {GRAPH_SQL}, " + ",\n".join(steps) + f" SELECT id, {column} FROM s{_ROUNDS - 1}"
+
+
+_MIS = _decided("NULL::BOOLEAN", "in_mis", "CASE WHEN seen IS NULL THEN true WHEN list_contains(seen, true) THEN false WHEN list_count(seen) < len(seen) THEN NULL ELSE true END")
+add("mis_fix", on_purchases(independent.mis_fix), _MIS)
+add("gc_jp", on_purchases(independent.colouring), _decided("NULL::INT", "color", "CASE WHEN seen IS NULL THEN 0 WHEN list_count(seen) < len(seen) THEN NULL ELSE list_min(list_filter(range(0, len(seen) + 1), lambda c: NOT list_contains(seen, c::INT)))::INT END"))
+add("mis_luby_a", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_a(g))), with_graph("SELECT id FROM v WHERE false"))
+add("mis_luby_b", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_b(g))), with_graph("SELECT id FROM v WHERE false"))
+
+
+def _core_sql() -> str:
+    steps = ["s0 AS MATERIALIZED (SELECT v.id, count(src) AS core FROM v LEFT JOIN e ON src = v.id GROUP BY v.id)"]
+    for i in range(1, _ROUNDS):
+        steps.append(
+            f"s{i} AS MATERIALIZED (SELECT v.id, coalesce(h, 0) AS core FROM v LEFT JOIN (SELECT src, max(least(core, k)) AS h FROM (SELECT e.src, s.core, row_number() OVER (PARTITION BY e.src ORDER BY s.core DESC) AS k FROM e JOIN s{i - 1} s ON s.id = e.dst) GROUP BY src) ON src = v.id)"
+        )
+    return f"WITH {GRAPH_SQL}, " + ",\n".join(steps) + f" SELECT id, core FROM s{_ROUNDS - 1}"
+
+
+add("kcore", on_purchases(cores.kcore), _core_sql())
+add("kcore_min_degree", on_purchases(cores.kcore_min_degree), f"{CC_SQL}, d AS (SELECT v.id, count(src) AS n FROM v LEFT JOIN e ON src = v.id GROUP BY v.id) SELECT r.id, min(n) OVER (PARTITION BY component) AS core FROM r JOIN d ON d.id = r.id")
+
+# -- ranks ----------------------------------------------------------------------
+
+
+def _rank_sql(rounds: int) -> str:
+    steps = ["o AS (SELECT src, count(*) AS n FROM e GROUP BY src)", "r0 AS MATERIALIZED (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v)"]
+    for i in range(1, rounds + 1):
+        steps.append(f"r{i} AS MATERIALIZED (SELECT v.id, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(g, 0) AS rank FROM v LEFT JOIN (SELECT e.dst, sum(r.rank / o.n) AS g FROM e JOIN o ON o.src = e.src JOIN r{i - 1} r ON r.id = e.src GROUP BY e.dst) ON dst = v.id)")
+    return ", ".join(steps)
+
+
+def _rounded(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.round(column, 6))
+
+
+add("pr_sync", on_purchases(lambda g: _rounded(ranks.pagerank(g, 20), "rank")), f"WITH {GRAPH_SQL}, {_rank_sql(20)} SELECT id, round(rank, 6) AS rank FROM r20")
+add("pr_directed", lambda s, d: _rounded(ranks.pagerank(transitions(s, d), 10), "rank"), f"WITH {TRANS_SQL}, {_rank_sql(10)} SELECT id, round(rank, 6) AS rank FROM r10")
+add("pr_until", on_purchases(lambda g: ranks.pagerank_until(g, 1e-4)))
+add("spmv", lambda s, d: ranks.spmv(trade(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("value"))),
+    f"WITH {TRADE_SQL} SELECT src AS id, sum(weight * c_nationkey)::BIGINT AS value FROM e JOIN customer ON c_custkey = dst GROUP BY src")
+
+# -- checks of results: no rows ---------------------------------------------------
+_NO_ARC, _NO_ID = with_graph("SELECT src, dst FROM e WHERE false"), with_graph("SELECT id FROM v WHERE false")
+add("vf_bfs", on_purchases(lambda g: checks.check_bfs(g, traversal.bfs(g, first_source(g)))), _NO_ARC)
+add("vf_sssp", on_purchases(lambda g: checks.check_sssp(g, traversal.sssp(g, first_source(g)))), _NO_ARC)
+add("vf_cc", on_purchases(lambda g: checks.check_cc(g, components.cc(g))), _NO_ARC)
+add("vf_mis", on_purchases(lambda g: checks.check_mis(g, independent.mis_fix(g))), _NO_ID)
+add("vf_gc", on_purchases(lambda g: checks.check_colouring(g, independent.colouring(g))), _NO_ID)
+add("vf_kcore", on_purchases(lambda g: checks.check_kcore(g, cores.kcore(g))), _NO_ID)
+add("vf_tc", on_purchases(lambda g: checks.check_triangles(g, triangles.enumerate_triangles(g))), f"WITH {PAIRS_SQL} SELECT a, b, a AS c FROM u WHERE false")
+
+# -- functions and summaries ------------------------------------------------------
+add("fn_pack32", lambda s, d: trade(s, d).select("src", "dst", bits.high32(bits.pack32(F.col("src"), F.col("dst"))).alias("high"), bits.low32(bits.pack32(F.col("src"), F.col("dst"))).alias("low")),
+    f"WITH {TRADE_SQL} SELECT src, dst, src AS high, dst AS low FROM e")
+add("bucket_classes", on_purchases(lambda g: g.edges.select(F.floor(F.col("weight") / 10).alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))), with_graph("SELECT (weight // 10)::BIGINT AS bucket, count(*) AS n FROM e GROUP BY 1"))
+add("time_statistics", lambda s, d: _rounded(_rounded(summaries.time_statistics(table(s, d, "events"), "value", "event_type"), "mean"), "sd"),
+    """WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, min(x) AS min, max(x) FILTER (i = n // 4) AS q1, max(x) FILTER (i = n // 2) AS median, max(x) FILTER (i = n // 2 + n // 4) AS q3, max(x) AS max FROM r GROUP BY event_type""")
+
+
+# -- text formats, generators, streams --------------------------------------------
+def _text(spark: SparkSession, lines: DataFrame) -> str:
+    import uuid
+
+    path = f"{shared_dir(spark)}/grafonda-{spark.sparkContext.applicationId}/text-{uuid.uuid4().hex}"
+    lines.write.text(path)
+    return path
+
+
+def _edge_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(" ", (F.col("a") + 1).cast("string"), (F.col("b") + 1).cast("string"))
+    return readers.edge_list(spark, _text(spark, pairs(spark, sf_dir).select(line)), flip=True)
+
+
+def _weighted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = purchases(spark, sf_dir).edges
+    return readers.weighted_edge_list(spark, _text(spark, e.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in e.columns]))))
+
+
+def _degree_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    path = f"{shared_dir(spark)}/grafonda-{spark.sparkContext.applicationId}/degrees-{uuid.uuid4().hex}"
+    writers.write_degrees(purchases(spark, sf_dir), path)
+    return spark.read.option("sep", "\t").schema("id long, out_degree long").csv(path)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    top = f"{shared_dir(spark)}/grafonda-{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    arcs = pairs(spark, sf_dir).toDF("src", "dst").repartition(3)
+    arcs.write.parquet(f"{top}/in")
+    stream = spark.readStream.schema("src long, dst long").option("maxFilesPerTrigger", 2).parquet(f"{top}/in")
+    keeper = ComponentStream(spark, f"{top}/forest")
+    keeper.start(stream, f"{top}/checkpoint").awaitTermination()
+    return keeper.forest()
+
+
+add("src_edge_list", _edge_file, with_graph("SELECT src, dst FROM e"))
+add("src_weighted", _weighted_file, with_graph("SELECT src, dst, weight FROM e"))
+add("snk_degree_file", _degree_file, ORACLE_SQL["g_out_degree"])
+add("stream_components", _streamed, f"{CC_SQL} SELECT id, component FROM r WHERE id IN (SELECT src FROM e)")
+add("snk_graphviz", on_purchases(lambda g: writers.graphviz_lines(g).select("line")),
+    with_graph("""SELECT 'digraph G {' AS line UNION ALL SELECT '}' UNION ALL SELECT id::VARCHAR || ';' FROM v UNION ALL SELECT src || ' -> ' || dst || ' [label="' || weight || '"];' FROM e"""))
+add("gen_mesh", lambda s, d: generators.mesh(s, 40, 30).edges, """WITH c AS (SELECT i, j FROM range(40) a(i), range(30) b(j)), n AS (SELECT i, j, i + x AS k, j + y AS l FROM c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) m(x, y))
+SELECT j * 40 + i AS src, l * 40 + k AS dst FROM n WHERE k BETWEEN 0 AND 39 AND l BETWEEN 0 AND 29""")
+add("gen_kronecker", lambda s, d: generators.kronecker(s, 10))
+add("gen_rmat1", lambda s, d: generators.rmat(s, 10, abc=generators.RMAT1))
+add("gen_rmat2", lambda s, d: generators.rmat(s, 10, abc=generators.RMAT2))
+add("gen_rmat_rec", lambda s, d: generators.rmat_lower(s, 10))
+add("gen_rmat_unique", lambda s, d: generators.rmat_unique(s, 10, 4000))
+add("gen_er", lambda s, d: generators.erdos_renyi(s, 1000, 0.01).edges)
+add("gen_small_world", lambda s, d: generators.small_world(s, 1000, 4, 0.05).edges)
+add("gen_weights", on_purchases(lambda g: readers.with_weights(g.edges.drop("weight"))))
