@@ -1,0 +1,424 @@
+"""The corpus operators against plain Python, with nulls, empty and long texts, repeats, empty tables and odd columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from grafonda.llm import chunks, fingerprints, html_blocks, langid, licenses, near_dedup, packing, quality, secrets, sentencepiece_codec, textkit, token_counts
+from grafonda.llm.common import tokenizer_path
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def prose(rng, n, words=None):
+    words = words or ["".join(rng.choice("abcdefghijklmnopé") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    return " ".join(rng.choice(words) + rng.choice(["", "", "", ".", ",", "\n"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = random.Random(4)
+    out = [None, "", " \n ", "one", "two words", "A b c", "a B c", "x" * 30, "é ü\x0bñ ß  ok"]
+    base = [prose(rng, 120) for _ in range(6)]
+    out += base
+    for b in base:  # near copies on both sides of the threshold
+        for share in (0.01, 0.03, 0.06, 0.1, 0.3):
+            w = b.split(" ")
+            out.append(" ".join(rng.choice(["neu", "alt"]) + str(i) if rng.random() < share else x for i, x in enumerate(w)))
+    out += [base[0]] * 5 + [prose(rng, 20_000), "the same line\n" * 30, "hot words " * 50]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i * 3, t, ["en", "de", None][i % 3], "s", len(t or "")) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r for r in df.collect()}
+
+
+def shingles(text, k):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def brute_components(texts, ids, k, pct):
+    sets = [shingles(t, k) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= pct * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {ids[i]: (len(sets[i]), ids[find(i)]) for i in range(len(texts))}
+
+
+@pytest.mark.parametrize(("k", "pct", "bands"), [(3, 85, 28), (5, 80, 40)])
+def test_near_duplicates_against_all_pairs(docs, texts, k, pct, bands):
+    got = near_dedup.near_duplicate_classes(docs, words=k, pct=pct, bands=bands).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(texts, [3 * i for i in range(len(texts))], k, pct)
+
+
+def test_near_duplicates_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)  # many blocks
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = [rng.choice(words) for _ in range(90)]
+    texts = []
+    for _ in range(60):
+        w = base[:]
+        for _ in range(rng.choice([0, 1, 2, 3, 4])):
+            w[rng.randrange(90)] = rng.choice(words)
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicate_classes(df, words=3, pct=85).collect()}
+    assert got == brute_components(texts, list(range(60)), 3, 85)
+
+
+def test_near_duplicates_edges(spark, empty):
+    assert near_dedup.near_duplicate_classes(empty).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d e f", 1), (5, "a b c d e f", 2), (5, "a b c d e f", 3), (2, "a b c d e f", 4)], "doc_id long, text string, sig long")
+    got = sorted((str(r["id"]), r["component_id"]) for r in near_dedup.near_duplicate_classes(odd).collect())
+    assert got == [("2", 2), ("5", 2), ("5", 2), ("None", None)]
+
+
+def test_posterior_bounds():
+    for n in (20, 140):
+        m = near_dedup.least_matches(n, 0.85, 1e-6)
+        assert near_dedup.least_matches(n, 0.85, 1e-3) > m > 0
+    post = near_dedup.Posterior(140, 0.85, 1e-6, 20)
+    same = np.arange(140, dtype=np.uint16)[None, :]
+    other = same.copy()
+    other[:, :80] += 1000
+    assert list(post.survivors(same, same, np.array([0]), np.array([0]))) == [0]
+    assert list(post.survivors(same, other, np.array([0]), np.array([0]))) == []
+
+
+def brute_quality(text):
+    text = text or ""
+    w = WORD.findall(text)
+    spans = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = set()
+    for i in range(len(w) - 4):
+        if spans[tuple(w[i : i + 5])] > 1:
+            hit |= set(range(i, i + 5))
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    n, rep = len(w), len(hit)
+    return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), rep, n < 10 or 100 * rep > 20 * n
+
+
+def test_quality_counts(docs, texts, empty):
+    got = by_id(quality.quality(docs))
+    for i, t in enumerate(texts):
+        r = got[3 * i]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == brute_quality(t)
+        assert not (r["kept"] and r["base_failed"])
+    assert quality.quality(empty).count() == 0
+
+
+def test_quality_stage_keeps_columns(spark, docs):
+    clash = docs.withColumnRenamed("source", "q_n")
+    out = quality.stage(spark, clash, "")
+    assert out.columns == clash.columns
+    assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in quality.quality(docs).where("kept").collect()}
+
+
+def test_quality_verdicts(spark):
+    clean = "the man and the dog went to the house and it was on that day in the town with a friend. " * 1
+    rows = [(0, clean), (1, " ".join(w + "%%%" for w in clean.split())), (2, " ".join(w.upper() + "!!" for w in clean.split()))]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i]["kept"] for i in range(3)] == [True, False, False]
+
+
+def test_packing(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = {}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for p, s in enumerate(range(0, len(ids), 4096)):
+            want[3 * i, p] = (s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes()))
+    rows = packing.pack(docs).collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
+    by_sequence = {}
+    for r in rows:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(w[1] for w in want.values())
+    assert len(by_sequence) <= -(-total // 4096) + 2
+    assert packing.pack(empty).count() == 0
+
+
+def test_open_bins():
+    bins = packing.OpenBins(10, 2)
+    assert bins.put(6) == (0, 0) and bins.put(7) == (1, 0)
+    assert bins.put(3) == (1, 7)  # the tightest that takes it, now full
+    assert bins.put(5) == (2, 0)  # a place is free
+    assert bins.put(9) == (3, 0)  # bin 0, the fullest, closes
+    assert bins.open() == {2: 5, 3: 1}
+
+
+def test_word_pieces_match_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tok, cache = Tokenizer.from_file(path), chunks.ChunkCache(chunks.WordPieces(path), most=50)
+    odd = ["ΣΑΣ İx <|endoftext|>a '", "it's we'll “q” ½ a² ٣", "áb café", "", "  ", "A b　c", "日本語 text", "x" * 500]
+    rng = random.Random(2)
+    for t in [*odd, *[prose(rng, 60) for _ in range(20)], *odd]:
+        assert chunks.numbers(cache.texts([t.split()])[0]).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_sentencepiece_parity(docs, texts, empty):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    native, codec = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+    more = ["a  b", "\tq<s></s>▁▁z", "日本 x y é", "\n", "▁", " lead", "trail  ", "\n\n x"]
+    for t in [t or "" for t in texts[:30]] + more:
+        ids = native.encode(t)
+        assert codec.encode(t).tolist() == ids
+        assert codec.decode(np.array(ids, np.uint32)) == native.decode(ids)
+        if t:
+            assert codec.whole.encode(t, add_special_tokens=False).ids == ids
+    assert codec.differences == 0
+    got = by_id(sentencepiece_codec.encode(docs), "id")
+    for i, t in enumerate(texts):
+        assert got[3 * i]["ids"] == native.encode(t or "") and got[3 * i]["round_trip"]
+    assert sentencepiece_codec.encode(empty).count() == 0
+
+
+def test_unigram_model_is_rebuilt(tmp_path):
+    pieces = [("<unk>", 0.0, 2), ("▁", -2.0, 1), ("▁a", -1.0, 1), ("b", -2.0, 1), ("ab", -1.5, 1), ("a", -3.0, 1)]
+
+    def field(number, kind, body):
+        return bytes([number << 3 | kind]) + (bytes([len(body)]) + body if kind == 2 else body)
+
+    import struct
+
+    blob = b""
+    for text, score, kind in pieces:
+        blob += field(1, 2, field(1, 2, text.encode()) + field(2, 5, struct.pack("<f", score)) + field(3, 0, bytes([kind])))
+    model = sentencepiece_codec.parse_model(blob + field(2, 2, field(3, 0, b"\x01")))
+    assert [p[0] for p in model["pieces"]] == [p[0] for p in pieces] and model["type"] == sentencepiece_codec.UNIGRAM
+    assert sentencepiece_codec.build(model).encode("ab b").tokens == ["▁a", "b", "▁", "b"]
+
+
+def test_token_counts_against_library_offsets(docs, texts, empty):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    got = {}
+    for r in token_counts.section_tokens(docs, rule="start").collect():
+        got.setdefault(r["id"], []).append((r["section"], r["start"], r["end"], r["n_tokens"]))
+    for i, t in enumerate(texts[:40]):
+        t = t or ""
+        ends, at = [], 0
+        for line in t.split("\n"):
+            at += len(line) + 1
+            ends.append(min(at, len(t)))
+        ends = [e for k, e in enumerate(ends) if k == 0 or e > ends[k - 1]]
+        counts = [0] * len(ends)
+        for a, _ in tok.encode(t, add_special_tokens=False).offsets:
+            counts[next(k for k, e in enumerate(ends) if a < e)] += 1
+        assert [x[3] for x in sorted(got[3 * i])] == counts
+        assert [x[2] for x in sorted(got[3 * i])] == ends
+    assert token_counts.section_tokens(empty).count() == 0
+
+
+def test_boundary_rules():
+    lengths = np.array([1, 4, 2])
+    text, ids, ends = "abcdefg", np.array([0, 1, 2]), np.array([2, 7])  # tokens a, bcde, fg
+    assert [x.tolist() for x in token_counts.attribute(text, ends, ids, lengths, "start")] == [[2, 1], [1, 0]]
+    assert [x.tolist() for x in token_counts.attribute(text, ends, ids, lengths, "majority")] == [[1, 2], [0, 1]]
+
+
+def test_sections_column(spark):
+    df = spark.createDataFrame([(1, "head body tail", [4, None, 99, 9, 4]), (2, None, None)], "id long, text string, cuts array<int>")
+    got = sorted(tuple(r) for r in token_counts.section_tokens(df, id_col="id", ends_col="cuts").collect())
+    assert [(r[0], r[1], r[2], r[3]) for r in got] == [(1, 0, 0, 4), (1, 1, 4, 9), (1, 2, 9, 14), (2, 0, 0, 0)]
+
+
+def test_secrets(docs, empty, spark):
+    key = "9fK2xQ7LmZ4vT8bR1nY6cW3e"
+    cases = {
+        0: f'token = "{"ab12" * 10}" end',
+        1: "password: token: abcdefgh",
+        2: f"AKIA{'Q7' * 9} AKIAshort x AKIA",
+        3: f"the bearer {key} is new",
+        4: f"a plain word {key} without context",
+        5: "secret: usr/local/lib/python/site-packages/a1",
+        6: None,
+        7: "API_KEY='xyz123' é paſſword=abcdefgh",
+    }
+    got = by_id(secrets.scan(spark.createDataFrame(list(cases.items()), "doc_id long, text string")), "id")
+    assert got[0]["base"] == "assign:0:49,hex:9:49"
+    assert got[1]["base"] == "" and got[6]["spans"] == "" and got[4]["spans"] == ""
+    assert (got[2]["n_access"], got[2]["base"]) == (1, "access:0:22")
+    assert got[3]["spans"] == f"novel:11:{11 + len(key)}" and got[3]["base"] == ""
+    assert "novel" not in got[5]["spans"]
+    assert got[7]["base"] == "assign:0:15"
+    assert secrets.scan(empty).count() == 0
+    assert secrets.redact("ab cd ef", [(0, 0, 2), (1, 2, 4), (6, 1, 8)]) == "[SECRET]d [SECRET]"
+    out = secrets.stage(spark, docs, "")
+    assert out.columns == docs.columns and out.count() == docs.count()
+    assert secrets.digest_of("x") == hashlib.sha256(b"").hexdigest()
+
+
+def test_fingerprints(docs, texts, empty, spark, monkeypatch):
+    got = {r["id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()}
+    by_text = {}
+    for i, t in enumerate(texts):
+        assert by_text.setdefault(t or "", got[3 * i]) == got[3 * i]
+    assert fingerprints.fingerprint(empty).count() == 0
+    values, first = textkit.shingle_sets(__import__("pyarrow").array([t or "" for t in texts]), 5)
+    assert np.diff(first).tolist() == [len(shingles(t, 5)) for t in texts]
+
+
+@pytest.mark.parametrize("per_range", [4, 1000])
+def test_next_document(spark, texts, per_range):
+    import pyarrow as pa
+
+    ids = [i * 7 % 101 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "id long, text string").repartition(5)
+
+    def apply(i, a, b):
+        return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "a", "b"])
+
+    got = {r["id"]: (r["a"], r["b"]) for r in fingerprints.with_next(df, apply, "id long, a string, b string", per_range).collect()}
+    order = sorted(zip(ids, texts, strict=True), reverse=True, key=lambda x: x[0])
+    assert got == {i: (t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)}
+    one = spark.createDataFrame([(1, "abc")], "id long, text string")
+    assert [tuple(r) for r in fingerprints.with_next(one, apply, "id long, a string, b string").collect()] == [(1, "abc", "abc")]
+    assert fingerprints.with_next(df.where("false"), apply, "id long, a string, b string").count() == 0
+    assert fingerprints.edited("abcdef", "XY") == "abcdXY" and fingerprints.edited("abcdef", "X") == "abcdX"
+
+
+def test_language_models(spark, empty):
+    rng = random.Random(3)
+    sounds = {"aa": "banoli", "bb": "krtuze", "cc": "shfyme"}
+    vocab = {lang: ["".join(rng.choice(s) for _ in range(rng.randint(2, 7))) for _ in range(150)] for lang, s in sounds.items()}
+    train = {lang: [prose(rng, 200, w) for _ in range(12)] for lang, w in vocab.items()}
+    model = langid.fit(train)
+    rows = [(i, prose(rng, 30, vocab[lang]), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    rows += [(90, None, None), (91, "", None), (92, "12 34 !!", None), (93, "Щука ждёт " * 30, None)]
+    got = by_id(langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model), "id")
+    assert all(got[i]["lang_pred"] == lang and not got[i]["rejected"] for i, _, lang in rows[:15])
+    assert [got[i]["lang_pred"] for i in (90, 91, 92)] == ["und"] * 3 and got[90]["score"] == 0
+    assert got[93]["rejected"]
+    assert langid.identify(empty, model).count() == 0
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_kneser_ney_sums_to_one():
+    counts = langid._Counts(Counter({"abab": 3, "ba": 2, "abc": 1}), 3)
+    memo = {}
+    for context in ("", "a", langid.BEGIN, "ab", langid.BEGIN + "a"):
+        seen = sum(counts.prob(context + c, memo) for c in ["a", "b", "c", langid.END])
+        unseen = counts.prob(context + "z", memo) * (langid.ALPHABET - 4)
+        assert abs(seen + unseen - 1) < 1e-9
+
+
+def test_scores_equal_the_recursion():
+    samples = {"x": ["abab ba abc cab"] * 4, "y": ["zyz zzy yx"] * 4}
+    model = langid.fit(samples, order=3)
+    for column, lang in enumerate(model.langs):
+        words = Counter(w for t in samples[lang][:3] for w in t.split())
+        counts, memo = langid._Counts(words, 3), {}
+        for word in ("abab", "zyx", "qq", "c"):
+            s = langid.BEGIN + word + langid.END
+            want = -sum(np.log(counts.prob(s[max(0, i - 2) : i + 1], memo)) for i in range(1, len(s)))
+            assert abs(model.score([word])[0, column] - want) < 1e-6
+
+
+def test_licenses(spark, docs, empty):
+    mit = licenses.TEMPLATES["MIT-permission"]
+    rng = random.Random(6)
+    cases = [(0, prose(rng, 200) + " " + mit.upper() + " " + prose(rng, 99)), (1, "Released under the MIT\nLicense."), (2, " ".join(mit.split()[:12])), (3, None), (4, "mit license"), (5, "Released under the MIT License. " * 9)]
+    got = sorted((r["id"], r["license"], r["containment"]) for r in licenses.license_scan(spark.createDataFrame(cases, "doc_id long, text string")).collect())
+    assert got == [(0, "MIT-permission", 1.0), (1, "MIT", 1.0), (5, "MIT", 1.0)]
+    assert licenses.license_scan(empty).count() == 0
+
+
+def test_license_scan_is_native(docs):
+    for df in (licenses.license_scan(docs), quality.quality(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    return html_blocks.train()
+
+
+def test_labeller_on_fresh_pages(labeller):
+    rng = random.Random(77)
+    right = total = 0
+    for _ in range(120):
+        found = html_blocks.blocks(html_blocks.sample_page(rng))
+        want = np.array([html_blocks.GOOD in b[0] for b in found])
+        clean = [(b[0].replace(html_blocks.GOOD, "") or "-", b[1], b[2]) for b in found]
+        if clean:
+            right += int(((html_blocks.label(labeller, [clean])[0] > 0) == want).sum())
+            total += len(want)
+    assert right / total > 0.99
+
+
+def test_gradients_are_those_of_the_loss():
+    model = html_blocks.BiLstm(5, 3, 1)
+    rng = np.random.default_rng(2)
+    x, mask = rng.standard_normal((2, 4, 5)).astype(np.float32), np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    y = rng.integers(0, 2, (2, 4)).astype(np.float32)
+    _, grad = model.gradients(x, mask, y)
+    for name, spot in (("wf", (2, 7)), ("ub", (1, 4)), ("cf", (3,)), ("o", (2,)), ("z", (0,))):
+        keep = model.p[name][spot]
+        at = []
+        for step in (1e-2, -1e-2):
+            model.p[name][spot] = keep + step
+            at.append(model.gradients(x, mask, y)[0])
+        model.p[name][spot] = keep
+        assert abs((at[0] - at[1]) / 2e-2 - grad[name][spot]) < 2e-3
+
+
+def test_page_text(labeller, spark):
+    page = (
+        "<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body><nav><ul><li><a href='/a'>Home</a></li></ul></nav>"
+        '<!-- x --><div class="ad">Buy now</div><article><h1>A &amp; B</h1><p><b>First   line<br><p>Second&nbsp;line &lt;here&gt; it goes on.</p></article><footer>&copy; us</footer>'
+    )
+    rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<<<>>"), (5, "u", page)]
+    got = {r["page_id"]: r["text"] for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), model=labeller).collect()}
+    assert got[1] == "A & B\nFirst line\nSecond line <here> it goes on."
+    assert got[2] == got[3] == "" and got[5] == got[1]
+    assert html_blocks.extract(spark.createDataFrame([], "page_id long, url string, html string"), model=labeller).count() == 0
