@@ -3,10 +3,10 @@
 Each partition packs its pieces online into a fixed number of open bins.  The open
 bins are kept by free space, with one bit per free space that occurs: the tightest
 bin that still takes a piece is the lowest set bit at or above the piece's length.
-When a piece fits nowhere and all places are taken, the fullest bin closes.  Bins
-still open at the end of a partition are packed again, whole, as pieces of the size
-of their contents, in a second round over few partitions, so the waste does not grow
-with the number of partitions.
+When a piece fits nowhere and all places are taken, the fullest bin closes.  The pieces
+of bins still open at the end of a partition are packed again, longest first, in a
+second round over few partitions, so the waste does not grow with the number of
+partitions.
 
 Nulls and edges: a null text is empty and packs as the end mark alone; a null id
 stays null; equal rows are separate documents; an empty table gives an empty result.
@@ -121,8 +121,8 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
     return docs.mapInArrow(run, schema)
 
 
-def _repack(bins: DataFrame, size: int, places: int) -> DataFrame:
-    """(bin, sequence_id, shift) of bins (bin, fill) that are packed once more as whole pieces."""
+def _repack(pieces: DataFrame, size: int, places: int) -> DataFrame:
+    """The pieces of bins that stayed open, longest first, with new bins and offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -130,11 +130,13 @@ def _repack(bins: DataFrame, size: int, places: int) -> DataFrame:
         packer = OpenBins(size, places)
         base = -((TaskContext.get().partitionId() + 1) << 33)  # negative: apart from the first round's numbers
         for batch in batches:
-            placed = [packer.put(x) for x in batch.column("fill").to_pylist()]
-            names, shifts = ([p[0] + base for p in placed], [p[1] for p in placed])
-            yield pa.RecordBatch.from_arrays([batch.column("bin"), pa.array(names, pa.int64()), pa.array(shifts, pa.int64())], names=["bin", "sequence_id", "shift"])
+            placed = [packer.put(x) for x in batch.column("length").to_pylist()]
+            for column, values in (("bin", [p[0] + base for p in placed]), ("offset", [p[1] for p in placed])):
+                at = batch.schema.get_field_index(column)
+                batch = batch.set_column(at, column, pa.array(values, pa.int64()))  # noqa: PLW2901
+            yield batch
 
-    return bins.mapInArrow(run, "bin long, sequence_id long, shift long")
+    return pieces.mapInArrow(run, pieces.schema)
 
 
 def pack(
@@ -146,23 +148,21 @@ def pack(
     end_id: int = 1,
     size: int = 4096,
     places: int = 512,
-    bins_per_task: int = 100_000,
+    pieces_per_task: int = 200_000,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document lies.
 
-    `places` bounds the open bins of a partition, `bins_per_task` what one task of
+    `places` bounds the open bins of a partition, `pieces_per_task` what one task of
     the second round packs.
     """
     spark = docs.sparkSession
     ship(spark)
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     pieces = cut(_pieces(rows, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, size, places))
-    open_bins = pieces.where("is_open").groupBy("bin").agg(F.sum("length").alias("fill"))
-    tasks = max(1, -(-pieces.where("is_open").count() // bins_per_task))
-    order = open_bins.repartition(tasks).sortWithinPartitions(F.desc("fill"), "bin")
-    moved = cut(_repack(order, size, bins_per_task))
-    out = pieces.where("is_open").join(moved, "bin")
-    out = out.withColumn("offset", F.col("offset") + F.col("shift")).drop("bin", "shift")
+    left = pieces.where("is_open")
+    tasks = max(1, -(-left.count() // pieces_per_task))
+    order = left.repartition(tasks, "bin").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
+    out = _repack(order, size, pieces_per_task).withColumnRenamed("bin", "sequence_id")
     closed = pieces.where("not is_open").withColumnRenamed("bin", "sequence_id")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return closed.select(*keep).union(out.select(*keep))
