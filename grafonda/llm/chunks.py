@@ -98,7 +98,7 @@ class WordPieces:
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.is_end[i] = token.endswith("</w>")
-        self.words = ChunkCache(self._encode_words)
+        self.words = ChunkCache(self._encode_words, most=150_000)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return self._raw(self.tokenizer, texts)

@@ -208,10 +208,10 @@ def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
 class Scorer:
     """Cross-entropies of texts, with a two-generation cache of scored tokens."""
 
-    def __init__(self, model: Model, most: int = 250_000) -> None:
+    def __init__(self, model: Model, most: int = 200_000) -> None:
         self.model, self.most = model, most
-        self.young: dict[int, tuple] = {}
-        self.old: dict[int, tuple] = {}
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
 
     def _rows(self, keys: list[int], tokens: list[str]) -> np.ndarray:
         """(symbols, letters, negative log likelihood per language) of each distinct token."""
@@ -227,13 +227,17 @@ class Scorer:
                     new.append(i)
         if new:
             parts = [LETTERS.findall(tokens[i].lower()) for i in new]
+            counts = np.array([len(p) for p in parts])
             cost = self.model.score([w for p in parts for w in p])
-            at = 0
-            for i, p in zip(new, parts, strict=True):
-                letters = sum(map(len, p))
-                young[keys[i]] = (letters + len(p), letters, *cost[at : at + len(p)].sum(0).tolist())
-                at += len(p)
-        return np.array([young[k] for k in keys]).reshape(len(keys), 2 + len(self.model.langs))
+            rows = np.zeros((len(new), 2 + len(self.model.langs)), np.float32)
+            rows[:, 1] = [sum(map(len, p)) for p in parts]
+            rows[:, 0] = rows[:, 1] + counts
+            some = np.flatnonzero(counts)
+            if len(some):
+                rows[some, 2:] = np.add.reduceat(cost, (np.cumsum(counts) - counts)[some], axis=0)
+            raw, width = rows.tobytes(), rows.shape[1] * 4
+            young.update(zip([keys[i] for i in new], [raw[k * width : (k + 1) * width] for k in range(len(new))], strict=True))
+        return np.frombuffer(b"".join([young[k] for k in keys]), np.float32).reshape(len(keys), -1).astype(np.float64)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(symbols, letters, summed negative log likelihood per language) of each text."""
