@@ -166,16 +166,27 @@ class Graph:
         return moved._with(moved.edges.repartition("src"))
 
 
+def _numbered(rows: DataFrame, size: Column, inside: Column, *order: Column) -> DataFrame:
+    """rows with _at, `inside` over the rows so far in a range partition, and _before, the summed sizes of the partitions before it."""
+    keyed = rows.select("*", F.struct(*order).alias("_key"))
+    parts = cut(keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(size.alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    so_far = Window.partitionBy("_part").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return parts.withColumn("_at", inside.over(so_far)).join(F.broadcast(before), "_part")  # one row per partition
+
+
 def dense_index(rows: DataFrame, *order: Column) -> DataFrame:
     """rows with lid, dense from 0 in the given order.
 
     Range partitions are sorted on their own and numbered from the sums of the
     partitions before them; only one count per partition meets in one place.
     """
-    keyed = rows.select("*", F.struct(*order).alias("_key"))
-    parts = cut(keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
-    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_key"))
-    numbered = parts.withColumn("_at", inside).join(F.broadcast(before), "_part")  # one row per partition
-    return numbered.select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.col("_at") - 1).cast("bigint").alias("lid"))
+    found = _numbered(rows, F.count(F.lit(1)), F.row_number(), *order)
+    return found.select(*rows.columns, (F.col("_before") + F.col("_at") - 1).cast("bigint").alias("lid"))
+
+
+def running_sum(rows: DataFrame, column: str, *order: Column) -> DataFrame:
+    """rows with upto, the sum of the column over this row and all before it; made like `dense_index`."""
+    found = _numbered(rows, F.sum(column), F.sum(column), *order)
+    return found.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("bigint").alias("upto"))

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from grafonda.functions.orderings import Ordering, delta, dijkstra, klevel, level
 from grafonda.operators.graph import Graph
 from grafonda.plans.fixpoint import WorkStats, fixpoint
-from grafonda.plans.scratch import cut
 
 
 def _start(sources: DataFrame, kind: str) -> DataFrame:
@@ -86,17 +85,16 @@ def sssp_eager(graph: Graph, sources: DataFrame, lookahead: int, growth: int = 1
 
     The lookahead is multiplied by `growth` after every `growth_after` rounds.
     """
-    state = cut(graph.vertices.select("id", F.lit(None).cast("bigint").alias("dist")))
-    pending = cut(_start(sources, "bigint"))
-    rounds = 0
-    while (low := pending.agg(F.min("cand")).first()[0]) is not None:
-        rounds += 1
-        now = pending.where(F.col("cand") <= low + lookahead).groupBy("id").agg(F.min("cand").alias("cand"))
-        better = F.col("cand").isNotNull() & (F.col("dist").isNull() | (F.col("cand") < F.col("dist")))
-        fresh = cut(state.join(now, "id", "left").select("id", F.when(better, F.col("cand")).otherwise(F.col("dist")).alias("dist"), F.coalesce(better, F.lit(False)).alias("improved")))
-        sent = fresh.where("improved").join(graph.edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("cand"))
-        pending = cut(pending.where(F.col("cand") > low + lookahead).union(sent))
-        state = fresh.select("id", "dist")
-        if rounds % growth_after == 0:
-            lookahead *= growth
-    return state
+    found = fixpoint(graph.vertices, graph.edges, _start(sources, "bigint"), lambda v, w: v + w, ordering=dijkstra(), slack=lambda done: lookahead * growth ** (done // growth_after))
+    return found.select("id", F.col("value").alias("dist"))
+
+
+def random_sources(graph: Graph, count: int = 1, seed: int = 1) -> DataFrame:
+    """(id): that many vertices with an arc out, drawn by a seeded hash; all of them if there are fewer."""
+    able = graph.edges.select(F.col("src").alias("id")).distinct()
+    return able.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(count)
+
+
+def two_way(graph: Graph, source: DataFrame) -> DataFrame:
+    """(id) of the strongly connected component of one vertex: what it reaches and what reaches it."""
+    return reach(graph, source).join(reach(graph.reverse(), source), "id", "left_semi")

@@ -36,30 +36,34 @@ def striped(graph: Graph) -> DataFrame:
     return enumerate_triangles(graph).agg(F.count(F.lit(1)).alias("triangles"))
 
 
-def _by_lists(graph: Graph, left: str, right: str) -> DataFrame:
-    """Sum over arcs (u, v) of the common members of u's `left` list and v's `right` list."""
-    e = oriented(graph)
-    lists = {
-        "suc": e.groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("near")),
-        "pre": e.groupBy(F.col("v").alias("id")).agg(F.collect_list("u").alias("near")),
-    }
-    both = e.join(lists[left].toDF("u", "x"), "u").join(lists[right].toDF("v", "y"), "v")
+def _lists(arcs: DataFrame, key: str, member: str) -> DataFrame:
+    return arcs.groupBy(F.col(key).alias("id")).agg(F.collect_list(member).alias("near"))
+
+
+def _common(both: DataFrame) -> DataFrame:
+    """One row (triangles): the summed sizes of the intersections of x and y."""
     return both.agg(F.coalesce(F.sum(F.size(F.array_intersect("x", "y"))), F.lit(0)).cast("bigint").alias("triangles"))
 
 
 def successors(graph: Graph) -> DataFrame:
-    """Common successors of both ends; lists are bounded by the orientation."""
-    return _by_lists(graph, "suc", "suc")
+    """Common successors of both ends: the list of the first end travels along the arc."""
+    e = oriented(graph)
+    near = _lists(e, "u", "v")
+    return _common(e.join(near.toDF("u", "x"), "u").join(near.toDF("v", "y"), "v"))
 
 
-def predecessors_of(graph: Graph) -> DataFrame:
-    """Common predecessors of both ends; a hub's list is as long as its degree."""
-    return _by_lists(graph, "pre", "pre")
+def middle(graph: Graph) -> DataFrame:
+    """Blocks of successors go back to the predecessors, which compare them with their own successors."""
+    e = oriented(graph)
+    near = _lists(e, "u", "v")
+    return _common(near.toDF("v", "y").join(e, "v").join(near.toDF("u", "x"), "u"))
 
 
-def middle(graph: Graph) -> DataFrame:
-    """Successors of the first end that precede the second one."""
-    return _by_lists(graph, "suc", "pre")
+def predecessors_of(graph: Graph) -> DataFrame:
+    """Common predecessors of both ends, with arcs turned to run from higher to lower degree: that bounds the predecessors."""
+    e = oriented(graph).toDF("v", "u")
+    near = _lists(e, "v", "u")
+    return _common(e.join(near.toDF("u", "x"), "u").join(near.toDF("v", "y"), "v"))
 
 
 def two_levels(graph: Graph) -> DataFrame:

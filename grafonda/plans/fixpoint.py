@@ -1,11 +1,12 @@
 """The loop behind the monotone kernels.
 
-state(id, value, level) holds the best value of every vertex, null where none has
-arrived.  Each round takes the pending items of the lowest bucket, keeps the best one
-per vertex (a map-side combined minimum), lets it replace the state where it is
-better, and sends the improved vertices' values along their edges.  State and
-improvement are written as one table per round, so the plan never grows; what a round
-sends is not stored unless an ordering holds part of it back.
+state(id, cand, level, open) holds the best value of every vertex, null where none has
+arrived; open vertices have not sent their value yet.  Each round takes the open
+vertices of the lowest bucket, sends their values along their arcs, keeps the best
+item per vertex (a map-side combined minimum) and lets it replace the state where it
+is better, which opens that vertex.  A worse value that waits is replaced where it
+stands, so what is pending never exceeds one item per vertex.  A round writes one
+table, from which the next round starts, so the plan never grows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ def fixpoint(
     message: Callable[[Column, Column], Column],
     *,
     ordering: Ordering | None = None,
+    slack: Callable[[int], int] | None = None,
     max_level: int | None = None,
     max_rounds: int = 10_000,
     stats: WorkStats | None = None,
@@ -52,56 +54,48 @@ def fixpoint(
     vertices(id); edges(src, dst[, weight]); message(value, weight) is what a vertex
     sends along an arc and must not decrease when the value does not.  Level counts
     the arcs of the path that brought the value; with `max_level`, paths end there.
+    slack(round), rounds from 0, lets buckets up to that much above the lowest run too.
     """
     bucket_of = (ordering or chaotic())()
+    bucket = F.lit(0).cast("bigint") if bucket_of is None else bucket_of
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
-    arcs = edges.select("src", "dst", weight.alias("weight"))
+    arcs = cut(edges.select("src", "dst", weight.alias("weight")))
     kind = start.schema["cand"].dataType
-    state = vertices.select("id", F.lit(None).cast(kind).alias("value"), F.lit(None).cast("int").alias("level"))
-    pending = start.select("id", "cand", F.lit(0).alias("level"))
-    held_state = held_pending = None
-    for _ in range(max_rounds):
-        rest = None
-        if bucket_of is not None:
-            stored = cut(pending.withColumn("bucket", bucket_of))
-            drop(held_pending)
-            held_pending = stored
-            lowest = stored.agg(F.min("bucket")).first()[0]
-            if lowest is None:
-                break
-            pending = stored.where(F.col("bucket") == lowest).select("id", "cand", "level")
-            rest = stored.where(F.col("bucket") != lowest).select("id", "cand", "level")
-        best = pending.groupBy("id").agg(F.min(F.struct("cand", "level")).alias("best"), F.count(F.lit(1)).alias("hits"))
-        better = F.col("best.cand").isNotNull() & (F.col("value").isNull() | (F.col("best.cand") < F.col("value")))
-        joined = state.join(best, "id", "left").select(
-            "id",
-            F.when(better, F.col("best.cand")).otherwise(F.col("value")).alias("value"),
-            F.when(better, F.col("best.level")).otherwise(F.col("level")).alias("level"),
-            F.coalesce(better, F.lit(False)).alias("improved"),
-            F.col("value").isNotNull().alias("had"),
-            F.coalesce("hits", F.lit(0)).alias("hits"),
-        )
-        written = cut(joined)
-        drop(held_state)
-        held_state = written
-        state = written.select("id", "value", "level")
-        live = written.where("improved")
+    first = start.where("cand is not null").groupBy("id").agg(F.min("cand").alias("cand"))
+    begun = vertices.join(first, "id", "left").select("id", F.col("cand").cast(kind).alias("cand"), F.when(F.col("cand").isNotNull(), 0).alias("level"))
+    state = cut(begun.withColumns({"open": F.col("cand").isNotNull(), "fresh": F.col("cand").isNotNull(), "again": F.lit(False), "hits": F.lit(0).cast("bigint")}))
+    for number in range(max_rounds):
+        waits = F.col("open") if max_level is None else F.col("open") & (F.col("level") < max_level)
+        figures = [F.min(F.when(waits, bucket))]
+        if stats is not None:
+            figures += [F.count_if("fresh"), F.count_if("again"), F.sum("hits")]
+        lowest, *work = state.agg(*figures).first()
         if stats is not None:
-            n = F.count(F.lit(1))
-            a, b, hits = written.agg(F.count_if(F.expr("improved and not had")), F.count_if(F.expr("improved and had")), F.sum("hits")).first()
-            followed = live.join(arcs, F.col("id") == F.col("src")).agg(n).first()[0]
+            useful, invalidated, hits = work[0], work[1], work[2] or 0
+            tried = hits if number else useful  # the values that began count as items that were of use
+            stats.useful, stats.invalidated = stats.useful + useful, stats.invalidated + invalidated
+            stats.rejected, stats.edges = stats.rejected + tried - useful - invalidated, stats.edges + hits
             stats.rounds += 1
-            stats.useful, stats.invalidated = stats.useful + a, stats.invalidated + b
-            stats.rejected, stats.edges = stats.rejected + (hits or 0) - a - b, stats.edges + followed
-            stats.by_round.append((a, b, (hits or 0) - a - b))
-        if bucket_of is None and not live.take(1):
-            break
-        if max_level is not None:
-            live = live.where(F.col("level") < max_level)
-        sent = live.join(arcs, F.col("id") == F.col("src")).select(
-            F.col("dst").alias("id"), message(F.col("value"), F.col("weight")).cast(kind).alias("cand"), (F.col("level") + 1).alias("level")
+            stats.by_round.append((useful, invalidated, tried - useful - invalidated))
+        if lowest is None:
+            drop(arcs)
+            return state.select("id", F.col("cand").alias("value"), "level")
+        runs = F.coalesce(waits & (bucket <= lowest + (slack(number) if slack else 0)), F.lit(False))
+        live = state.where(runs).select(F.col("id").alias("src"), "cand", F.col("level") + 1)
+        sent = live.toDF("src", "cand", "level").join(arcs, "src").select(F.col("dst").alias("id"), message(F.col("cand"), F.col("weight")).cast(kind).alias("cand"), "level")
+        best = sent.groupBy("id").agg(F.min(F.struct("cand", "level")).alias("best"), F.count(F.lit(1)).alias("n"))
+        better = F.col("best.cand").isNotNull() & (F.col("cand").isNull() | (F.col("best.cand") < F.col("cand")))
+        after = cut(
+            state.withColumn("ran", runs).drop("fresh", "again", "hits").join(best, "id", "left").select(
+                "id",
+                F.when(better, F.col("best.cand")).otherwise(F.col("cand")).alias("cand"),
+                F.when(better, F.col("best.level")).otherwise(F.col("level")).alias("level"),
+                (better | (F.col("open") & ~F.col("ran"))).alias("open"),
+                (better & F.col("cand").isNull()).alias("fresh"),
+                (better & F.col("cand").isNotNull()).alias("again"),
+                F.coalesce("n", F.lit(0).cast("bigint")).alias("hits"),
+            )
         )
-        pending = sent if rest is None else rest.union(sent)
-    else:
-        raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
-    return state
+        drop(state)
+        state = after
+    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")

@@ -16,7 +16,14 @@ from grafonda.operators.components import star_components
 class ComponentStream:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.version: int | None = None
+        self.version = self._stored()
+
+    def _stored(self) -> int | None:
+        """The last whole version in the folder, so a restarted driver goes on from it."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        top = jvm.org.apache.hadoop.fs.Path(self.folder)
+        whole = top.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/v*/_SUCCESS")) or []
+        return max((int(x.getPath().getParent().getName()[1:]) for x in whole), default=None)
 
     def forest(self) -> DataFrame | None:
         """(id, component) after the last batch."""
@@ -24,7 +31,7 @@ class ComponentStream:
 
     def batch(self, arcs: DataFrame, number: int) -> None:
         """The function for foreachBatch; arcs(src, dst)."""
-        if self.version == number:  # the batch was applied before its commit got through
+        if self.version is not None and self.version >= number:  # the batch was applied before its commit got through
             return
         known = self.forest()
         edges = arcs.select("src", "dst")
