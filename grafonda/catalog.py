@@ -52,6 +52,11 @@ def transitions(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(arcs)
 
 
+def follows(spark: SparkSession, sf_dir: str) -> Graph:
+    """A sparse part of the transitions, by a formula of the ids."""
+    return Graph.from_edges(cut(transitions(spark, sf_dir).edges.where("(src * 7 + dst * 13) % 31 < 2")))
+
+
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst, weight): supplier ids (from 1,000,000), customer ids, lines of quantity 49 or more."""
     lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
@@ -153,6 +158,10 @@ add("g_remove_edge_if", on_purchases(lambda g: g.remove_edge_if(F.col("weight")
 add("g_clear_out_edges", on_purchases(lambda g: g.clear_vertices(g.vertices.where("id % 5 = 0"), into=False).edges), with_graph("SELECT src, dst, weight FROM e WHERE src % 5 <> 0"))
 add("g_add_edges", on_purchases(lambda g: g.add_edges(g.vertices.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1).alias("weight"))).counts()),
     with_graph("SELECT (SELECT count(*) FROM (SELECT id FROM v UNION SELECT id + 1 FROM v)) AS n_vertices, (SELECT count(*) FROM e) + (SELECT count(*) FROM v) AS n_edges"))
+add("g_add_vertices", on_purchases(lambda g: g.add_vertices(g.vertices.select(F.col("id") + 1)).counts()), with_graph("SELECT (SELECT count(*) FROM (SELECT id FROM v UNION SELECT id + 1 FROM v)) AS n_vertices, (SELECT count(*) FROM e) AS n_edges"))
+add("g_remove_edges", on_purchases(lambda g: g.remove_edges(g.edges.where("weight % 7 = 0")).edges), with_graph("SELECT src, dst, weight FROM e WHERE (src, dst) NOT IN (SELECT (src, dst) FROM e WHERE weight % 7 = 0)"))
+add("g_clear_vertices", on_purchases(lambda g: g.clear_vertices(g.vertices.where("id % 5 = 0")).counts()), with_graph("SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0) AS n_edges"))
+add("g_property_filter", on_purchases(lambda g: g.restrict(g.out_degrees().where("out_degree >= 8").select("id")).edges), "WITH " + GRAPH_SQL + (", h AS (SELECT src AS id FROM e GROUP BY src HAVING count(*) >= 8) SELECT src, dst, weight FROM e WHERE src IN (SELECT id FROM h) AND dst IN (SELECT id FROM h)"))
 add("g_index", on_purchases(lambda g: g.index()), with_graph("SELECT id, row_number() OVER (ORDER BY id) - 1 AS lid FROM v"))
 add("id_vertical", on_purchases(lambda g: g.vertical_ids()), with_graph("SELECT id, id AS lid FROM v"))
 add("id_horizontal", on_purchases(lambda g: g.horizontal_ids(4)), with_graph("SELECT id, (id % b) * 4 + id // b AS lid FROM v, (SELECT ceil((max(id) + 1) / 4)::BIGINT AS b FROM v)"))
@@ -162,7 +171,10 @@ add("redistribute", lambda s, d: (g := transitions(s, d)).redistribute(g.vertice
 
 # -- traversal ------------------------------------------------------------------
 _BFS = f"{BFS_SQL} SELECT v.id, best.level::INT AS level FROM v LEFT JOIN best ON best.id = v.id"
-for _name, _order in (("bfs_chaotic", orderings.chaotic()), ("bfs_level", orderings.level()), ("bfs_klevel", orderings.klevel(3))):
+for _name, _order in (
+    ("bfs_chaotic", orderings.chaotic()), ("bfs_level", orderings.level()), ("bfs_klevel", orderings.klevel(3)),
+    ("bfs_node_level", orderings.named("node_level")), ("bfs_numa_level", orderings.named("numa_level")), ("bfs_async", orderings.named("thread_chaotic")),
+):
     add(_name, on_purchases(lambda g, o=_order: traversal.bfs(g, first_source(g), o)), _BFS)
 add("bfs_max_level", on_purchases(lambda g: traversal.bfs(g, first_source(g), max_level=3)), f"{BFS_SQL} SELECT v.id, (CASE WHEN best.level <= 3 THEN best.level END)::INT AS level FROM v LEFT JOIN best ON best.id = v.id")
 add("bfs_predecessors", on_purchases(lambda g: traversal.predecessors(g, cut(traversal.bfs(g, first_source(g))))),
@@ -174,6 +186,17 @@ add("sssp_chaotic", on_purchases(lambda g: traversal.sssp(g, first_source(g))),
 add("sssp_delta", on_purchases(lambda g: traversal.sssp_delta(g, first_source(g), 60)), _SSSP)
 add("sssp_kla", on_purchases(lambda g: traversal.sssp_kla(g, first_source(g), 4)), _SSSP)
 add("sssp_eager", on_purchases(lambda g: traversal.sssp_eager(g, first_source(g), 80)), _SSSP)
+add("sssp_dc", on_purchases(lambda g: traversal.sssp(g, first_source(g), orderings.named("thread_chaotic"))), _SSSP)
+add("sssp_visited_edges", on_purchases(lambda g: summaries.visited_edges(g.edges, cut(traversal.sssp(g, first_source(g))), "dist")), f"{SSSP_SQL} SELECT count(*) AS n_edges FROM e JOIN r ON r.id = e.src")
+add("sssp_random_sources", on_purchases(lambda g: checks.check_sssp(g, traversal.sssp(g, cut(traversal.random_sources(g, 3))))), with_graph("SELECT src, dst FROM e WHERE false"))
+add("bfs_visited_color", on_purchases(lambda g: traversal.bfs(g, first_source(g)).select("id", F.col("level").isNotNull().alias("visited"))), f"{BFS_SQL} SELECT v.id, best.id IS NOT NULL AS visited FROM v LEFT JOIN best ON best.id = v.id")
+add(
+    "scc_of_source",
+    lambda s, d: (g := follows(s, d), traversal.two_way(g, first_source(g)))[1],
+    f"""WITH RECURSIVE {TRANS_SQL}, k AS (SELECT src, dst FROM e WHERE (src * 7 + dst * 13) % 31 < 2),
+f(id) AS (SELECT min(src) FROM k UNION SELECT k.dst FROM f JOIN k ON k.src = f.id), b(id) AS (SELECT min(src) FROM k UNION SELECT k.src FROM b JOIN k ON k.dst = b.id)
+SELECT f.id FROM f JOIN b ON b.id = f.id""",
+)
 add("sssp_visited_count", on_purchases(lambda g: summaries.visited(traversal.sssp(g, first_source(g)), "dist")), f"{SSSP_SQL} SELECT count(*) AS n_visited FROM r")
 
 
@@ -191,6 +214,8 @@ add("cc", on_purchases(components.cc), _CC)
 add("cc_chaotic", on_purchases(components.cc_flood), _CC)
 add("cc_delta", on_purchases(lambda g: components.cc_flood(g, orderings.delta(500))), _CC)
 add("cc_level", on_purchases(lambda g: components.cc_flood(g, orderings.level())), _CC)
+add("cc_level_thread_dj", on_purchases(lambda g: components.cc_flood(g, orderings.named("thread_level"))), _CC)
+add("cc_priority", on_purchases(lambda g: components.cc_flood(g, orderings.named("thread_chaotic"))), _CC)
 add("cc_sv", on_purchases(components.cc_hook), _CC)
 add("cc_ps_sv", on_purchases(components.cc_flood_then_hook), _CC)
 add("cc_number_components", on_purchases(lambda g: components.number_components(cut(components.cc(g)))), f"{CC_SQL} SELECT id, dense_rank() OVER (ORDER BY component) - 1 AS number FROM r")
@@ -210,6 +235,8 @@ def _decided(first: str, column: str, rule: str) -> str:
 
 _MIS = _decided("NULL::BOOLEAN", "in_mis", "CASE WHEN seen IS NULL THEN true WHEN list_contains(seen, true) THEN false WHEN list_count(seen) < len(seen) THEN NULL ELSE true END")
 add("mis_fix", on_purchases(independent.mis_fix), _MIS)
+add("mis_luby_av1", on_purchases(independent.mis_luby_ids), _MIS)
+add("mis_luby_av2", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_a(g, seed=2))), with_graph("SELECT id FROM v WHERE false"))
 add("gc_jp", on_purchases(independent.colouring), _decided("NULL::INT", "color", "CASE WHEN seen IS NULL THEN 0 WHEN list_count(seen) < len(seen) THEN NULL ELSE list_min(list_filter(range(0, len(seen) + 1), lambda c: NOT list_contains(seen, c::INT)))::INT END"))
 add("mis_luby_a", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_a(g))), with_graph("SELECT id FROM v WHERE false"))
 add("mis_luby_b", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_b(g))), with_graph("SELECT id FROM v WHERE false"))
@@ -247,6 +274,11 @@ add("pr_until", on_purchases(lambda g: ranks.pagerank_until(g, 1e-4)))
 add("spmv", lambda s, d: ranks.spmv(trade(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("value"))),
     f"WITH {TRADE_SQL} SELECT src AS id, sum(weight * c_nationkey)::BIGINT AS value FROM e JOIN customer ON c_custkey = dst GROUP BY src")
 
+# -- messages along arcs: combined before the shuffle -----------------------------
+add("red_duplicate_removal", lambda s, d: table(s, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).distinct(), "SELECT DISTINCT l_suppkey AS src, l_partkey AS dst FROM lineitem")
+add("red_combination", on_purchases(lambda g: ranks.combine(g.edges, g.vertices.select("id", F.col("id").alias("value")), F.min, F.max, F.sum)),
+    with_graph("SELECT dst AS id, min(src)::BIGINT AS min, max(src)::BIGINT AS max, sum(src)::BIGINT AS sum FROM e GROUP BY dst"))
+
 # -- checks of results: no rows ---------------------------------------------------
 _NO_ARC, _NO_ID = with_graph("SELECT src, dst FROM e WHERE false"), with_graph("SELECT id FROM v WHERE false")
 add("vf_bfs", on_purchases(lambda g: checks.check_bfs(g, traversal.bfs(g, first_source(g)))), _NO_ARC)
@@ -285,6 +317,62 @@ def _weighted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.weighted_edge_list(spark, _text(spark, e.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in e.columns]))))
 
 
+def _matrix_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs under a header that gives the largest id, as coordinate entries."""
+    found = cut(pairs(spark, sf_dir))
+    line = F.concat_ws(" ", (F.col("a") + 1).cast("string"), (F.col("b") + 1).cast("string")).alias("value")
+    top = found.agg(F.concat_ws(" ", F.max("b") + 1, F.max("b") + 1, F.count(F.lit(1))).alias("value"))
+    path = _text(spark, _ordered(top, found.select(line)))
+    n, m = readers.matrix_market_header(spark, path)
+    edges = readers.matrix_market(spark, path)
+    return edges.withColumns({"n": F.lit(n).cast("bigint"), "m": F.lit(m).cast("bigint")})
+
+
+def _ordered(top: DataFrame, lines: DataFrame) -> DataFrame:
+    """A file's header line before its lines: one partition, as a format with a header asks for."""
+    both = top.withColumn("at", F.lit(0)).union(lines.withColumn("at", F.lit(1)))
+    return both.repartition(1).sortWithinPartitions("at", "value").select("value")
+
+
+def _snap_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cut(pairs(spark, sf_dir))
+    top = found.agg(F.format_string("# Nodes: %d Edges: %d", F.max("b") + 1, F.count(F.lit(1))).alias("value"))
+    path = _text(spark, _ordered(top, found.select(F.concat_ws("\t", "a", "b").alias("value"))))
+    n, m = readers.snap_header(spark, path)
+    return readers.snap(spark, path).withColumns({"n": F.lit(n).cast("bigint"), "m": F.lit(m).cast("bigint")})
+
+
+def _dimacs_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = purchases(spark, sf_dir).edges
+    top = e.agg(F.format_string("p sp %d %d", F.max("src") + 1, F.count(F.lit(1))).alias("value"))
+    lines = e.select(F.concat_ws(" ", F.lit("a"), F.col("src") + 1, F.col("dst") + 1, F.col("weight")).alias("value"))
+    return readers.dimacs(spark, _text(spark, _ordered(top, lines))).edges
+
+
+def _metis_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts, which are numbered from 0 without gaps, are the lines of the file."""
+    g = purchases(spark, sf_dir)
+    cells = g.edges.groupBy(F.col("src").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("dst", "weight"))), lambda x: F.concat_ws(" ", x["dst"] + 1, x["weight"])), " ").alias("value"))
+    lines = g.vertices.join(cells, "id", "left").select("id", F.coalesce("value", F.lit("")).alias("value"))
+    top = g.counts().select(F.lit(-1).cast("bigint").alias("id"), F.concat_ws(" ", "n_vertices", "n_edges", F.lit("1")).alias("value"))
+    path = _text(spark, top.union(lines).repartition(1).sortWithinPartitions("id").select("value"))
+    return readers.metis(spark, path).edges
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(" ", F.col("a") + 1, F.col("b") + 1).alias("value")
+    both = pairs(spark, sf_dir).select(line)
+    return readers.segmented(spark, _text(spark, both.union(both).repartition(4)), "part", preprocess=True)
+
+
+def _verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the symmetric graph, checked against those of the one-way arcs; a difference raises."""
+    g = purchases(spark, sf_dir)
+    n, m = g.counts().first()
+    Graph(g.vertices, g.edges.where("src < dst")).symmetrize().verify_counts(n, m // 2, flipped=True)
+    return g.counts()
+
+
 def _degree_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -307,6 +395,13 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("src_edge_list", _edge_file, with_graph("SELECT src, dst FROM e"))
 add("src_weighted", _weighted_file, with_graph("SELECT src, dst, weight FROM e"))
+_HEAD = "(SELECT max(b) + 1 FROM u)::BIGINT AS n, (SELECT count(*) FROM u) AS m"
+add("src_mmio", _matrix_file, f"WITH {PAIRS_SQL} SELECT a AS src, b AS dst, {_HEAD} FROM u")
+add("src_snap_header", _snap_file, f"WITH {PAIRS_SQL} SELECT a AS src, b AS dst, {_HEAD} FROM u")
+add("src_dimacs", _dimacs_file, with_graph("SELECT src, dst, weight FROM e"))
+add("src_metis", _metis_file, with_graph("SELECT src, dst, weight FROM e"))
+add("src_segmented", _segments, f"WITH {PAIRS_SQL} SELECT a AS src, b AS dst FROM u")
+add("graph_verify_load", _verified, ORACLE_SQL["g_counts"])
 add("snk_degree_file", _degree_file, ORACLE_SQL["g_out_degree"])
 add("stream_components", _streamed, f"{CC_SQL} SELECT id, component FROM r WHERE id IN (SELECT src FROM e)")
 add("snk_graphviz", on_purchases(lambda g: writers.graphviz_lines(g).select("line")),

@@ -64,6 +64,11 @@ def mis_luby_a(graph: Graph, seed: int = 1, max_rounds: int = 1000) -> DataFrame
     return _luby(graph, F.lit(True), F.struct("coin", -F.col("id")), seed, max_rounds)
 
 
+def mis_luby_ids(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
+    """(id, in_mis): rounds with the id as the key; the set is that of `mis_fix`."""
+    return _luby(graph, F.lit(True), F.struct(F.col("id")), 0, max_rounds)
+
+
 def mis_luby_b(graph: Graph, seed: int = 1, max_rounds: int = 1000) -> DataFrame:
     """(id, in_mis): candidates with probability 1/(2 degree); of two candidates the one of no higher degree drops out."""
     share = F.when(F.col("degree") == 0, 1.0).otherwise(1 / (2 * F.greatest("degree", F.lit(1))))

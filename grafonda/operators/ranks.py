@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafonda.operators.graph import Graph
@@ -54,3 +56,13 @@ def spmv(entries: DataFrame, vector: DataFrame) -> DataFrame:
     """(id, value): y(src) = sum of weight * x(dst) over entries(src, dst, weight) and vector(id, value); rows without entries are absent."""
     x = vector.select(F.col("id").alias("dst"), F.col("value").alias("x"))
     return entries.join(x, "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("x")).alias("value"))
+
+
+def combine(arcs: DataFrame, values: DataFrame, *reducers: Callable[[Column], Column]) -> DataFrame:
+    """(id, one column per reducer, by its name): what arrives at each vertex when all send values(id, value) along their arcs.
+
+    Reducers are aggregate functions such as F.min and F.sum; equal targets are
+    combined on the map side.  Vertices that nothing arrives at are absent.
+    """
+    sent = arcs.select("src", "dst").join(values.toDF("src", "value"), "src")
+    return sent.groupBy(F.col("dst").alias("id")).agg(*[f(F.col("value")).alias(f.__name__) for f in reducers])

@@ -39,7 +39,7 @@ def test_shortest_paths_of_the_samples(spark):
     g = graph(spark, H1, 5)
     want = {0: 0, 1: 6, 2: 1, 3: 4, 4: 5}
     assert values(traversal.sssp(g, source(spark)), "dist") == want
-    for order in (orderings.delta(3), orderings.named("thread_klevel", 2), orderings.dijkstra()):
+    for order in (orderings.delta(3), orderings.named("thread_klevel", 2), orderings.dijkstra(), orderings.vertex_delta(2)):
         assert values(traversal.sssp(g, source(spark), order), "dist") == want
     assert values(traversal.sssp_eager(g, source(spark), 1), "dist") == want
     assert values(traversal.bfs(g, source(spark)), "level") == {0: 0, 2: 1, 1: 2, 3: 2, 4: 3}
@@ -134,3 +134,42 @@ def test_bits_and_times(spark):
     assert spark.range(64).select(bits.scramble(F.col("id"), 6, 5).alias("s")).distinct().count() == 64
     t = summaries.time_statistics(spark.createDataFrame([(float(x),) for x in (5, 1, 4, 2, 3)], "x double"), "x").first()
     assert (t["mean"], t["min"], t["q1"], t["median"], t["q3"], t["max"]) == (3.0, 1.0, 2.0, 3.0, 4.0, 5.0)
+
+
+def test_statistics_per_group_with_frequent_values(spark):
+    rows = [("a", 1.0)] * 700 + [("a", 2.0)] * 200 + [("a", 9.0)] * 101 + [(None, 4.0), ("b", None), ("c", 7.0)]
+    got = {r["k"]: r for r in summaries.time_statistics(spark.createDataFrame(rows, "k string, x double"), "x", "k").collect()}
+    assert set(got) == {"a", None, "c"}
+    ordered = sorted(x for k, x in rows if k == "a")
+    n = len(ordered)
+    assert (got["a"]["q1"], got["a"]["median"], got["a"]["q3"]) == (ordered[n // 4], ordered[n // 2], ordered[n // 4 + n // 2])
+    assert (got[None]["median"], got["c"]["min"], got["c"]["max"]) == (4.0, 7.0, 7.0)
+    assert not summaries.time_statistics(spark.createDataFrame([], "x double"), "x").collect()
+
+
+def test_triangles_at_a_hub(spark):
+    rim = 40
+    g = graph(spark, [(0, i) for i in range(1, rim + 1)] + [(i, i % rim + 1) for i in range(1, rim + 1)], rim + 1).symmetrize()
+    for count in (triangles.striped, triangles.successors, triangles.predecessors_of, triangles.middle, triangles.two_levels):
+        assert count(g).first()[0] == rim
+
+
+def test_sources_and_two_way_reach(spark):
+    g = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (4, 0)], 5)
+    assert sorted(r[0] for r in traversal.two_way(g, source(spark)).collect()) == [0, 1, 2]
+    drawn = [sorted(r[0] for r in traversal.random_sources(g, 2, seed=7).collect()) for _ in range(2)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 2 and 3 not in drawn[0]
+    assert traversal.random_sources(g, 9).count() == 4
+
+
+def test_messages_and_id_keys(h3, spark):
+    got = {r["id"]: (r["min"], r["sum"]) for r in ranks.combine(h3.edges, h3.vertices.withColumn("value", F.col("id")), F.min, F.sum).collect()}
+    assert got == {0: (1, 3), 1: (0, 2), 2: (0, 4), 3: (2, 2)}
+    assert values(independent.mis_luby_ids(h3), "in_mis") == values(independent.mis_fix(h3), "in_mis")
+
+
+def test_work_of_a_path_with_a_detour(spark):
+    stats = WorkStats()
+    g = graph(spark, [(0, 1, 9), (0, 2, 1), (2, 1, 1), (1, 3, 1)], 4)
+    assert values(traversal.sssp(g, source(spark), stats=stats), "dist") == {0: 0, 1: 2, 2: 1, 3: 3}
+    assert (stats.useful, stats.invalidated, stats.rejected, stats.edges) == (4, 2, 0, 5)

@@ -78,3 +78,12 @@ def test_stream_of_arcs(spark, tmp_path):
     assert rows(keeper.forest()) == [(1, 1), (2, 1), (3, 1), (4, 1)]
     whole = Graph.from_edges(frame([(3, 4), (1, 2), (2, 3)]))
     assert rows(components.cc(whole).select("id", "component")) == rows(keeper.forest())
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    frame = lambda pairs: spark.createDataFrame(pairs, "src long, dst long")
+    ComponentStream(spark, str(tmp_path / "forest")).batch(frame([(3, 4), (1, 2)]), 0)
+    again = ComponentStream(spark, str(tmp_path / "forest"))
+    again.batch(frame([(9, 8)]), 0)  # applied before, so it is not taken again
+    again.batch(frame([(2, 3)]), 1)
+    assert rows(again.forest()) == [(1, 1), (2, 1), (3, 1), (4, 1)]
