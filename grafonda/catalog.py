@@ -197,6 +197,13 @@ add(
 f(id) AS (SELECT min(src) FROM k UNION SELECT k.dst FROM f JOIN k ON k.src = f.id), b(id) AS (SELECT min(src) FROM k UNION SELECT k.src FROM b JOIN k ON k.dst = b.id)
 SELECT f.id FROM f JOIN b ON b.id = f.id""",
 )
+add(
+    "scc_of_source_whole",
+    lambda s, d: (g := Graph.from_edges(cut(transitions(s, d).edges)), traversal.two_way(g, first_source(g)))[1],
+    f"""WITH RECURSIVE {TRANS_SQL},
+f(id) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM f JOIN e ON e.src = f.id), b(id) AS (SELECT min(src) FROM e UNION SELECT e.src FROM b JOIN e ON e.dst = b.id)
+SELECT f.id FROM f JOIN b ON b.id = f.id""",
+)
 add("sssp_visited_count", on_purchases(lambda g: summaries.visited(traversal.sssp(g, first_source(g)), "dist")), f"{SSSP_SQL} SELECT count(*) AS n_visited FROM r")
 
 
