@@ -3,10 +3,11 @@
 Base spans come from three patterns.  The method adds spans of kind `novel`: long
 strings of key characters near a word that announces a secret are compressed with
 zstandard, once together with the text around them and once without them, primed
-with a dictionary of identifiers and of that text.  The marginal compressed bytes
-say how much of the string the surroundings and the dictionary do not explain;
-words, paths and repeated identifiers cost little, random keys cost nearly their
-entropy.
+with a dictionary of identifiers and of that text.  Further copies of the string, or
+of a key inside it, are first taken out of that text, so that a repeated secret does
+not explain itself.  The marginal compressed bytes say how much of the string the
+surroundings and the dictionary do not explain; words and paths cost little, random
+keys cost nearly their entropy, which the size of their alphabet gives.
 
 Spans are in code points, ends exclusive.  Nulls and edges: a null text is empty and
 has no spans; each row is scanned on its own, so ties and repeats do not matter.
@@ -15,6 +16,7 @@ has no spans; each row is scanned on its own, so ties and repeats do not matter.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -33,14 +35,15 @@ KINDS = ("assign", "access", "hex", "novel")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 #: A candidate is a run of key characters of this length or more that mixes digits and letters.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{20,}")
+LEAST_KEY = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.~-]{{{LEAST_KEY},}}")
 #: Words that announce a secret within CONTEXT characters before the candidate (fixed values).
 SENSITIVE = re.compile(
     r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|client[_-]?id|signature|session|cookie|AKIA",
     re.IGNORECASE | re.ASCII,
 )
 CONTEXT, AROUND = 48, 512
-#: Marginal compressed bytes per character from which a candidate is reported.
+#: Marginal compressed bytes per character from which a candidate over 64 symbols is reported; smaller alphabets in proportion to their bits.
 NOVELTY = 0.62
 
 #: Words of code and configuration that a key is not made of (fixed values).
@@ -80,16 +83,52 @@ class Novelty:
         return (len(options.compress(candidate.encode() + around)) - len(options.compress(around))) / len(candidate)
 
 
+def mixes(s: str) -> bool:
+    return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+
+
+def without_copies(around: str, candidate: str) -> str:
+    """around less the stretches that it shares with the candidate and that would be keys themselves."""
+    n = LEAST_KEY
+    own = {around[i : i + n] for i in range(len(around) - n + 1)}
+    shared = {g for i in range(len(candidate) - n + 1) if (g := candidate[i : i + n]) in own}
+    if not shared:
+        return around
+    out, at, i = [], 0, 0
+    while i <= len(around) - n:
+        stop = i
+        while around[stop : stop + n] in shared:
+            stop += 1
+        if stop > i and mixes(around[i : stop + n - 1]):
+            out += [around[at:i], " "]
+            at = stop + n - 1
+        i = max(stop, i + 1, at)
+    return "".join(out) + around[at:]
+
+
+def alphabet(candidate: str) -> int:
+    """Symbols that the candidate is drawn from: those it has, if it is long enough to show all, else those of its classes."""
+    seen = set(candidate)
+    if len(candidate) >= 4 * len(seen):
+        return max(4, len(seen))  # under 4, padding would count as a key
+    digits, symbols = any(c.isdigit() for c in seen), sum(not c.isalnum() for c in seen)
+    cases = [x for x in ({c for c in seen if c.islower()}, {c for c in seen if c.isupper()}) if x]
+    return 10 * digits + symbols + sum(6 if x <= set("abcdefABCDEF") else 26 for x in cases)
+
+
 def novel_spans(text: str, novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Spans of incompressible strings in sensitive context."""
     found = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
+        if not mixes(s):
             continue
         if not SENSITIVE.search(text, max(0, m.start() - CONTEXT), m.start() + 4):
             continue
-        if novelty(text[max(0, m.start() - AROUND) : m.start()], s, text[m.end() : m.end() + AROUND]) >= least:
+        wide = AROUND + min(len(s), AROUND)  # copies across the edge are seen whole
+        before = without_copies(text[max(0, m.start() - wide) : m.start()], s)[-AROUND:]
+        after = without_copies(text[m.end() : m.end() + wide], s)[:AROUND]
+        if novelty(before, s, after) >= least * min(1, math.log2(alphabet(s)) / 6):
             found.append((m.start(), 3, m.end()))
     return found
 

@@ -297,6 +297,28 @@ def test_secrets(docs, empty, spark):
     assert secrets.digest_of("x") == hashlib.sha256(b"").hexdigest()
 
 
+def test_secrets_that_repeat_or_have_few_symbols(spark):
+    key = "9fK2xQ7LmZ4vT8bR1nY6cW3e"
+    rng = random.Random(5)
+    words = [prose(rng, 300, ["alpha", "beta", "gamma", "delta"])[:n] for n in (0, 40, 470, 490, 505)]
+    cases = [f"bearer {key} {gap} bearer {key}" for gap in words]  # near, and across the edge of the text around
+    cases += [f"auth={key} then bearer {key}", f"bearer {key} or auth={key} or session {key}"]
+    for symbols, n in (("0123456789ABCDEF", 256), ("0123456789ABCDEF", 2048), ("0123456789x", 300), ("01234567a", 128), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1000)):
+        cases.append("the bearer " + "".join(rng.choice(symbols) for _ in range(n)) + " is new")
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = by_id(secrets.scan(rows), "id")
+    for i, t in enumerate(cases):
+        runs = [m for m in secrets.CANDIDATE.finditer(t) if any(c.isdigit() for c in m[0])]
+        assert [x for x in got[i]["spans"].split(",") if "novel" in x] == [f"novel:{m.start()}:{m.end()}" for m in runs], t
+    clean = {r["doc_id"]: r["text"] for r in secrets.stage(spark, rows, "").collect()}
+    assert not any(key in t for t in clean.values())
+    path = "usr/local/lib/python3/site-packages/requests/auth"
+    for plain in (path, "a" * 40 + "1", "com.example.project2.module.ClassName.getAuthToken"):
+        assert not secrets.novel_spans(f"the auth token at {plain} is used here", secrets.Novelty())
+    assert secrets.without_copies(f"x {path[:20]} y", path) == f"x {path[:20]} y"  # no key is shared
+    assert secrets.without_copies(f"x {key} y {key}", key) == "x   y  "
+
+
 def test_fingerprints(docs, texts, empty, spark, monkeypatch):
     got = {r["id"]: r["fingerprint"] for r in fingerprints.fingerprint(docs).collect()}
     by_text = {}
