@@ -10,6 +10,7 @@ Ids are kept as the bytes of little-endian unsigned 32-bit numbers.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 from itertools import chain
@@ -20,6 +21,16 @@ import numpy as np
 FEED = b"\xff\xff\xff\xff"
 
 
+#: Python takes these for white space, the vocabulary's normaliser does not.
+SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+NOT_SPACE = re.compile(r"[\S\x1c-\x1f]+")
+
+
+def split_chunks(text: str) -> list[str]:
+    """The chunks between white space as the vocabulary's normaliser knows it."""
+    return NOT_SPACE.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+
+
 class ChunkCache:
     """Maps chunks to their ids; `encode` gets the list of chunks that are not known."""
 

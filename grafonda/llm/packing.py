@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.chunks import ChunkCache, WordPieces, numbers
+from grafonda.llm.chunks import ChunkCache, WordPieces, numbers, split_chunks
 from grafonda.llm.common import read, require, ship, tokenizer_path
 from grafonda.plans.scratch import cut
 
@@ -96,7 +96,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
 
         for whole in batches:
             for part in T.slices(whole, "text"):
-                chunks = [(text or "").split() for text in part.column("text").to_pylist()]
+                chunks = [split_chunks(text or "") for text in part.column("text").to_pylist()]
                 for doc, own in zip(part.column("id").to_pylist(), cache.texts(chunks), strict=True):
                     ids = numbers(own + end)
                     for piece, start in enumerate(range(0, len(ids), size)):

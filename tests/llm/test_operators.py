@@ -201,6 +201,17 @@ def test_word_pieces_match_the_library():
         assert chunks.numbers(cache.texts([t.split()])[0]).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_separators_are_no_white_space(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    texts = ["a\x1cb", "a\x1fb", "\x1d", " \x1e \x1c\x1c", "It\x1c's one\x1f\x1f", "a\x85b\xa0c\u2028d\u3000e\x1cf\u200bg\n\tΣΑΣ\x1d", "\x1cé\x1e 12"]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i]["length"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
 def test_sentencepiece_parity(docs, texts, empty):
     import sentencepiece
 
