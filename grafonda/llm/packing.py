@@ -4,9 +4,9 @@ Each partition packs its pieces online into a fixed number of open bins.  The op
 bins are kept by free space, with one bit per free space that occurs: the tightest
 bin that still takes a piece is the lowest set bit at or above the piece's length.
 When a piece fits nowhere and all places are taken, the fullest bin closes.  The pieces
-of bins still open at the end of a partition are packed again, longest first, in a
-second round over few partitions, so the waste does not grow with the number of
-partitions.
+of bins still open at the end of a partition are packed again in a second round over
+few partitions, longest first and with no bound on the open bins (best fit decreasing),
+so the waste does not grow with the number of partitions.
 
 Nulls and edges: a null text is empty and packs as the end mark alone; a null id
 stays null; equal rows are separate documents; an empty table gives an empty result.
