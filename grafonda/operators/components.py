@@ -63,7 +63,10 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     low = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component"))
     alone = loops.select(F.col("u").alias("id"), F.col("u").alias("component"))
-    return low.union(roots).union(alone).groupBy("id").agg(F.min("component").alias("component"))
+    found = cut(low.union(roots).union(alone).groupBy("id").agg(F.min("component").alias("component")))
+    drop(work)
+    drop(current)
+    return found
 
 
 def _all_vertices(graph: Graph, found: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.operators.components import star_components
+from grafonda.plans.scratch import drop
 
 
 class ComponentStream:
@@ -37,7 +38,9 @@ class ComponentStream:
         edges = arcs.select("src", "dst")
         if known is not None:
             edges = edges.union(known.select(F.col("id").alias("src"), F.col("component").alias("dst")))
-        star_components(edges).write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        found = star_components(edges)
+        found.write.mode("overwrite").parquet(f"{self.folder}/v{number}")
+        drop(found)
         self.version = number
 
     def start(self, stream: DataFrame, checkpoint: str, **trigger):  # noqa: ANN003, ANN201
