@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _SHIPPED: set[str] = set()
+#: Rows of one Arrow batch between the JVM and Python: some MB of text, where Spark's 10,000 would be tens of MB on either side.
+BATCH_ROWS = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +41,32 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(name)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and what they keep counts against the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def in_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """rows.mapInArrow(run, schema) in batches of at most BATCH_ROWS rows, by workers that end their tasks with little memory.
+
+    A smaller batch size of the session stays; a larger one is lowered for the session.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get(_BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, BATCH_ROWS)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(held, schema)
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash with our own."""
     return df.select(*[df[c] for c in columns])

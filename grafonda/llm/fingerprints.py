@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, require, ship
+from grafonda.llm.common import in_arrow, read, require
 from grafonda.llm.near_dedup import near_duplicate_classes
 
 SLOTS, WORDS = 128, 5
@@ -47,7 +47,6 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, slots: int = SLOTS) -> DataFrame:
     """(id, fingerprint) of every row."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = T.MinHash(slots)
@@ -57,7 +56,7 @@ def fingerprint(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([row.tobytes().hex() for row in sig], pa.string())], names=["id", "fingerprint"])
 
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, "id long, fingerprint string")
+    return in_arrow(rows, run, "id long, fingerprint string")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, pct: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
@@ -89,7 +88,7 @@ def _ranges(rows: DataFrame, per_range: int) -> tuple[np.ndarray, list[int]]:
             key = np.asarray(batch.column("key"))
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.searchsorted(bounds, key))], names=["key", "range"])
 
-    heads = rows.mapInArrow(spot, "key long, range long").groupBy("range").agg(F.max("key").alias("head")).collect()
+    heads = in_arrow(rows, spot, "key long, range long").groupBy("range").agg(F.max("key").alias("head")).collect()
     return bounds, sorted((r["head"] for r in heads), reverse=True)
 
 
@@ -98,7 +97,6 @@ def with_next(docs: DataFrame, apply, schema: str, per_range: int = 4000) -> Dat
 
     The row after the last is the first.
     """
-    ship(docs.sparkSession)
     least = -(2**63)
     rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("id", F.lit(least)).alias("key"))
     bounds, heads = _ranges(rows.select("key"), per_range)
@@ -132,10 +130,10 @@ def with_next(docs: DataFrame, apply, schema: str, per_range: int = 4000) -> Dat
                 if done:
                     yield apply(*(list(x) for x in zip(*done, strict=True)))
 
-    dealt = rows.mapInArrow(deal, "id long, text string, key long, range long, guard boolean")
+    dealt = in_arrow(rows, deal, "id long, text string, key long, range long, guard boolean")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(heads) // 4, 1)
     ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "guard", F.desc("key"), "text")
-    return ordered.select("id", "text", "range", "guard").mapInArrow(walk, schema)
+    return in_arrow(ordered.select("id", "text", "range", "guard"), walk, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

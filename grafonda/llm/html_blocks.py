@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, require, ship
+from grafonda.llm.common import in_arrow, read, require
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
@@ -408,7 +408,6 @@ def main_texts(model: BiLstm, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", model: BiLstm | None = None) -> DataFrame:
     """(id, text) of every page."""
-    ship(pages.sparkSession)
     fitted = model or train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +419,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     rows = require(pages, id_col, *[c for c in ("url",) if c in pages.columns], html_col)
     rows = rows.withColumnRenamed(html_col, "html")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html")
-    return rows.mapInArrow(run, kept + ", text string")
+    return in_arrow(rows, run, kept + ", text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, ship
+from grafonda.llm.common import in_arrow, read
 
 LETTERS = re.compile(r"[^\W\d_]+")
 BEGIN, END = "\x02", "\x03"
@@ -296,7 +296,6 @@ def trainable(id_col: str) -> Column:
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) of every row."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -308,7 +307,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, rejected boolean")
+    return in_arrow(rows, run, f"id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +321,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents of no learned language go."""
-    ship(spark)
     model = fit(sample(docs, "doc_id", "text", "lang", trainable("doc_id"), DOCS_PER_LANG))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,4 +330,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                 _, _, rejected = scorer.decide(part.column("text"))
                 yield part.filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

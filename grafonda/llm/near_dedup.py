@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, require, ship
+from grafonda.llm.common import in_arrow, read, require
 from grafonda.operators.components import star_components
 from grafonda.plans.scratch import cut
 
@@ -96,7 +96,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, size: int) -
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, sig binary")
+    return in_arrow(rows, run, "id long, n long, d1 long, d2 long, sig binary")
 
 
 def band_rows(classes: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
@@ -108,7 +108,7 @@ def band_rows(classes: DataFrame, bands: int, rows: int, size: int) -> DataFrame
             ids = np.repeat(np.asarray(batch.column("id")), bands)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return in_arrow(classes.select("id", "sig"), run, "key long, id long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, post: Posterior, size: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, post: Posterior, size: int) ->
 
     sig = classes.select("id", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return in_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def in_cells(rows: DataFrame, group: str, members: str) -> DataFrame:
@@ -178,7 +178,7 @@ def _cross_group(rows: DataFrame, post: Posterior, size: int) -> DataFrame:
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[i])), pa.array(ids[hit])], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def _spanning(ids: np.ndarray, values: np.ndarray, first: np.ndarray, pct: int) -> list[tuple[int, int]]:
@@ -233,7 +233,7 @@ def _exact_links(rows: DataFrame, words: int, pct: int) -> DataFrame:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return in_arrow(rows, run, "a long, b long")
 
 
 def _cells(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -260,7 +260,6 @@ def near_duplicate_classes(
     (1 - (pct/100)^rows)^bands well below the number of links that may be lost.
     """
     spark, size = docs.sparkSession, bands * rows
-    ship(spark)
     post = Posterior(size, pct / 100, miss, batch)
     rough = cut(sketch(require(docs, id_col, text_col), id_col, text_col, words, size))
     sets = rough.where("id is not null and n > 0")

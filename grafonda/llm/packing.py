@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
 from grafonda.llm.chunks import ChunkCache, WordPieces, numbers, split_chunks
-from grafonda.llm.common import read, require, ship, tokenizer_path
+from grafonda.llm.common import in_arrow, read, require, tokenizer_path
 from grafonda.plans.scratch import cut
 
 
@@ -76,7 +76,7 @@ def _cache(path: str) -> ChunkCache:
     return ChunkCache(WordPieces(path))
 
 
-def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) -> DataFrame:
+def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int, keep_cache: bool) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset", "is_open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +116,12 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int) ->
         rest = [r for n in still for r in held[n]]
         if rest:
             yield flush(rest, True)
+        if not keep_cache:
+            del cache
+            _cache.cache_clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, is_open boolean"
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def _repack(pieces: DataFrame, size: int, places: int) -> DataFrame:
@@ -136,7 +139,7 @@ def _repack(pieces: DataFrame, size: int, places: int) -> DataFrame:
                 batch = batch.set_column(at, column, pa.array(values, pa.int64()))  # noqa: PLW2901
             yield batch
 
-    return pieces.mapInArrow(run, pieces.schema)
+    return in_arrow(pieces, run, pieces.schema)
 
 
 def pack(
@@ -149,16 +152,17 @@ def pack(
     size: int = 4096,
     places: int = 512,
     pieces_per_task: int = 200_000,
+    keep_cache: bool = True,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document lies.
 
     `places` bounds the open bins of a partition, `pieces_per_task` what one task of
-    the second round packs.
+    the second round packs.  Workers keep the cache of encoded words for their next
+    task unless `keep_cache` is false, which saves memory for other work.
     """
     spark = docs.sparkSession
-    ship(spark)
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    pieces = cut(_pieces(rows, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, size, places))
+    pieces = cut(_pieces(rows, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, size, places, keep_cache))
     left = pieces.where("is_open")
     tasks = max(1, -(-left.count() // pieces_per_task))
     order = left.repartition(tasks, "bin").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
@@ -175,4 +179,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: what is left is packed."""
-    return pack(docs)
+    return pack(docs, keep_cache=False)

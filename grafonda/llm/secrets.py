@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, require, ship
+from grafonda.llm.common import in_arrow, read, require
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -139,7 +139,6 @@ def _told(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY) -> DataFrame:
     """(id, spans, base, n_assign, n_access, n_hex): spans and base list kind:start:end in order, comma-joined."""
-    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Novelty()
@@ -153,7 +152,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", nov
                 yield pa.RecordBatch.from_arrays([part.column("id"), *told, *counts], names=["id", "spans", "base", "n_assign", "n_access", "n_hex"])
 
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, "id long, spans string, base string, n_assign long, n_access long, n_hex long")
+    return in_arrow(rows, run, "id long, spans string, base string, n_assign long, n_access long, n_hex long")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mark: str = "[SECRET]") -> str:
@@ -176,7 +175,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: secrets are replaced by a mark, n_chars follows; every document stays."""
-    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Novelty()
@@ -189,7 +187,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                     out.append(redact(t, spans) if spans else t)
                 yield part.set_column(at, whole.schema.field(at), pa.array(out, whole.schema.field(at).type))
 
-    clean = docs.mapInArrow(run, docs.schema)
+    clean = in_arrow(docs, run, docs.schema)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
 from grafonda.llm.chunks import ChunkCache, cut_after, numbers
-from grafonda.llm.common import read, require, ship, tokenizer_path
+from grafonda.llm.common import in_arrow, read, require, tokenizer_path
 
 MARK = "▁"
 #: Kinds of pieces and of models in the model file (fixed values).
@@ -210,7 +210,6 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     round_trip: decoding gives the text back, blanks for markers.
     """
     spark = docs.sparkSession
-    ship(spark)
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +234,7 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
 
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     schema = "id long, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean" + ", ids array<int>" * with_ids
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
-from grafonda.llm.common import read, require, ship, tokenizer_path
+from grafonda.llm.common import in_arrow, read, require, tokenizer_path
 
 
 @lru_cache(maxsize=2)
@@ -76,7 +76,6 @@ def section_tokens(
     if rule not in ("majority", "start"):
         raise ValueError("rule is majority or start")
     spark = docs.sparkSession
-    ship(spark)
     path = ranks or tokenizer_path("byte_bpe_50k.tiktoken")
     names = ["id", "section", "start", "end", "n_tokens", "n_crossing"]
 
@@ -104,7 +103,7 @@ def section_tokens(
 
     rows = require(docs, id_col, text_col, *([ends_col] if ends_col else []))
     rows = rows.toDF("id", "text", *(["ends"] if ends_col else [])).withColumn("id", F.col("id").cast("long"))
-    return rows.mapInArrow(run, "id long, section long, start long, end long, n_tokens long, n_crossing long")
+    return in_arrow(rows, run, "id long, section long, start long, end long, n_tokens long, n_crossing long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
