@@ -16,7 +16,10 @@ of the sample fit the counts, the rest calibrates the rejection.
 
 Nulls and edges: a null text, or one without letters, is `und` with score 0 and is
 rejected; a null language or id is never trained on; ids do not influence a
-prediction; without any training row every text is `und`.
+prediction; without any training row (an empty table, or one without labels) every
+text is `und` with score 0.  Of languages that score alike, the first in the order of
+their names wins.  Texts of any length are scored whole, some MB of them at a time;
+equal rows get equal results; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -168,8 +171,10 @@ def _table(grams: list[str], columns: list[list[float]]) -> tuple[np.ndarray, np
 
 
 def fit(samples: dict[str, list[str]], order: int = ORDER) -> Model:
-    """Models from whole texts of each language; every fourth text calibrates the rejection."""
+    """Models from whole texts of each language; every fourth text calibrates the rejection.  Without texts, a model of no language."""
     langs = sorted(samples)
+    if not langs:
+        return Model([], order)
     kept = {lang: [t for i, t in enumerate(samples[lang]) if i % 4 != 3] for lang in langs}
     counts = [_Counts(Counter(w for t in kept[lang] for w in LETTERS.findall(t.lower())), order) for lang in langs]
     model = Model(langs, order)
@@ -259,10 +264,10 @@ class Scorer:
 
     def decide(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, rejected) of each text."""
-        symbols, letters, cost = self(column)
         if not self.model.langs:
             n = len(column)
             return ["und"] * n, np.zeros(n), np.ones(n, bool)
+        symbols, letters, cost = self(column)
         h = cost / np.maximum(symbols, 1)[:, None]
         best = h.argmin(1)
         low = h[np.arange(len(h)), best]
@@ -320,8 +325,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents of no learned language go."""
+    """Pipeline: documents of no learned language go; where there is no text to learn from, all stay.
+
+    Null and letterless texts go (they are of no language); other nulls, repeats and
+    extra columns pass through unchanged; an empty table stays empty.
+    """
     model = fit(sample(docs, "doc_id", "text", "lang", trainable("doc_id"), DOCS_PER_LANG))
+    if not model.langs:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
