@@ -6,16 +6,27 @@ compared with up to three hubs of that band (its smallest, its largest and a
 hash-chosen member): rows grow with the members, not with their pairs.  Signatures
 are compared batch by batch; a pair is given up as soon as the posterior
 probability that its similarity reaches the threshold falls below the chosen miss
-probability.  The pairs that stay join classes into loose groups; bands that still
-hold members of two loose groups are compared in full, signatures only, in blocks
-of bounded size.  After that every surviving candidate pair lies inside one loose
-group, and the groups are linked exactly, on full shingle sets, in blocks.  The
-only candidates that are not looked at are those that share no band:
-(1 - t^rows)^bands, 7e-8 for a pair just at t = 0.85 with the defaults.
+probability.  The pairs that stay join classes into loose groups; in bands that still
+hold several loose groups, the members outside the band's largest group are compared
+with all of its members, signatures only.  After that every surviving candidate pair
+lies inside one loose group.
+
+Links are exact, on full shingle sets.  Each member is first compared with its
+likeliest partner, so that a group of near copies costs about one text for each
+member; only members that this leaves outside the largest linked part of their loose
+group are then compared with the rest of the group.  Both steps work in cells that
+are bounded by shingles, not by rows.  Where a group falls into many parts that are
+alike but not linked, the copies of its texts still grow with (members x members
+outside the largest part) / CELL.  The only candidates that are not looked at are
+those that share no band: (1 - t^rows)^bands, 7e-8 for a pair just at t = 0.85 with
+the defaults.
 
 Nulls and edges: a null text is empty; a text without words has no set and links
 with nothing; a row whose id is null links with nothing, keeps a null component and
-is kept; rows that share an id count as one document, linked by that id.
+is kept.  Rows that share an id are one document: its component is that of all texts
+under the id, an empty one included.  Texts of any length are read whole, one at a
+time if need be; repeated rows give repeated results; an empty table gives an empty
+result; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -25,16 +36,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.llm import textkit as T
 from grafonda.llm.common import in_arrow, read, require
 from grafonda.operators.components import star_components
-from grafonda.plans.scratch import cut
+from grafonda.plans.scratch import cut, drop
 
-#: Members of one block; two blocks meet in one cell, which is the most that a task holds at a time.
-BLOCK = 1024
+#: Most members, and most shingles, that one block of a group holds; two blocks meet in one cell, the most that a task holds at a time.
+BLOCK, CELL = 1024, 1 << 19
+#: What a set counts in CELL besides its shingles.
+SET_WEIGHT = 256
+#: Stretches that the rows of one key are dealt to.
+SALTS = 256
 
 
 def least_matches(n: int, t: float, miss: float) -> int:
@@ -54,8 +69,8 @@ class Posterior:
         self.steps = [(a, min(a + batch, size)) for a in range(0, size, batch)]
         self.least = [least_matches(b, t, miss) for _, b in self.steps]
 
-    def survivors(self, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Positions of the pairs (left[a[i]], right[b[i]]) that no batch rules out."""
+    def survivors(self, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the pairs (left[a[i]], right[b[i]]) that no batch rules out, and their equal slots."""
         alive, got = np.arange(len(a)), np.zeros(len(a), np.int32)
         for (lo, hi), least in zip(self.steps, self.least, strict=True):
             if not len(alive):
@@ -63,7 +78,7 @@ class Posterior:
             got = got + (left[a[alive], lo:hi] == right[b[alive], lo:hi]).sum(1)
             go = got >= least
             alive, got = alive[go], got[go]
-        return alive
+        return alive, got
 
 
 def _signatures(column: pa.Array, size: int) -> np.ndarray:
@@ -111,33 +126,58 @@ def band_rows(classes: DataFrame, bands: int, rows: int, size: int) -> DataFrame
     return in_arrow(classes.select("id", "sig"), run, "key long, id long")
 
 
+def meet(rows: DataFrame, key: str, summary: DataFrame) -> DataFrame:
+    """rows(id, key, ...) joined with the one row that summary has for a key.
+
+    Rows are dealt by key and salt, and a key's summary goes to the salts that occur
+    with it: no key, however frequent, lies in one task, and the copies are never
+    more than the rows.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    copies = salted.select(key, "salt").distinct().join(summary, key)
+    return salted.join(copies, [key, "salt"]).drop("salt")
+
+
 def _likely(pairs: DataFrame, classes: DataFrame, post: Posterior, size: int) -> DataFrame:
-    """The pairs (a, b) that the sequential test leaves."""
+    """The pairs (a, b) that the sequential test leaves, with their equal slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _signatures(batch.column("sa"), size), _signatures(batch.column("sb"), size)
             at = np.arange(batch.num_rows)
-            keep = pa.array(post.survivors(x, y, at, at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
+            alive, equal = post.survivors(x, y, at, at)
+            keep = pa.array(alive)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(equal, pa.int32())], names=["a", "b", "equal"])
 
     sig = classes.select("id", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    return in_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long")
+    return in_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long, equal int")
 
 
-def in_cells(rows: DataFrame, group: str, members: str) -> DataFrame:
-    """Send each row of a group to the cells where its block meets every block of the group.
+def in_cells(rows: DataFrame, group: str, label: str, weight: Column, most: int) -> DataFrame:
+    """Send the rows of a group to cells in which each pair of different labels meets, one of them a visitor.
 
-    A group of m rows has ceil(m / BLOCK) blocks; cell (i, j) holds blocks i and j
-    and so at most about twice BLOCK rows, whatever m is.  Adds `cell` and `side`.
+    The visitors are the rows that do not carry the group's weightiest label; a pair
+    of which neither end is a visitor has one label and need not meet.  Residents
+    (all rows) and visitors are dealt to blocks of about `most` weight; cell (i, j)
+    holds block i of the residents and block j of the visitors.  A group of one label
+    has no cells; one with few visitors has about one copy of each row.  Adds `cell`
+    and `visitor`.
     """
-    blocks = F.ceil(F.col(members) / BLOCK).cast("int")
-    side = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    out = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cell = F.xxhash64(F.col(group), F.least("side", "other"), F.greatest("side", "other"))
-    diagonal = F.col("side") == F.col("other")
-    return out.select("*", cell.alias("cell"), diagonal.alias("diagonal")).drop("other", members)
+    weighed = rows.withColumn("w", weight)
+    by_label = weighed.groupBy(group, label).agg(F.sum("w").alias("w"))
+    tops = by_label.groupBy(group).agg(F.sum("w").alias("all_w"), F.max(F.struct("w", label)).alias("top"), F.count(F.lit(1)).alias("labels"))
+    blocks = [F.ceil(w / F.lit(most)).cast("int").alias(name) for w, name in ((F.col("all_w"), "homes"), (F.col("all_w") - F.col("top.w"), "guests"))]
+    placed = meet(weighed.drop("w"), group, tops.where("labels > 1").select(group, F.col(f"top.{label}").alias("top"), *blocks))
+    home, guest = F.pmod(F.xxhash64("id", F.lit(1)), F.col("homes")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("guests"))
+
+    def spot(i: Column, j: Column, visitor: bool) -> Column:
+        return F.struct(F.xxhash64(F.col(group), i.cast("int"), j.cast("int")).alias("cell"), F.lit(visitor).alias("visitor"))
+
+    stays = F.transform(F.sequence(F.lit(0), F.col("guests") - 1), lambda j: spot(home, j, False))
+    calls = F.transform(F.sequence(F.lit(0), F.col("homes") - 1), lambda i: spot(i, guest, True))
+    spots = F.when(F.col(label) == F.col("top"), stays).otherwise(F.concat(stays, calls))
+    return placed.withColumn("spot", F.explode(spots)).select(*rows.columns, "spot.cell", "spot.visitor")
 
 
 def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -163,84 +203,128 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _pairs(links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if links:
+        a, b = zip(*links, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _join_labels(label: np.ndarray, x: int, hits: np.ndarray) -> list[int]:
+    """One hit of each label that is not x's own; those labels become x's."""
+    new = []
+    for y in hits.tolist():
+        if label[y] != label[x]:
+            new.append(y)
+            label[label == label[y]] = label[x]
+    return new
+
+
 def _cross_group(rows: DataFrame, post: Posterior, size: int) -> DataFrame:
-    """Likely pairs of different loose groups inside each cell of a band."""
+    """Likely pairs of visitors and residents of different loose groups, enough of them to join the groups of each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
-            ids, loose, side = (_column(table, c) for c in ("id", "loose", "side"))
-            diagonal = bool(table.column("diagonal")[0].as_py())
+            ids, visitor = _column(table, "id"), _column(table, "visitor")
+            label = np.unique(_column(table, "loose"), return_inverse=True)[1]
             sig = _signatures(table.column("sig").combine_chunks(), size)
-            for i in range(len(ids)):
-                rest = np.flatnonzero((loose[i + 1 :] != loose[i]) & (diagonal | (side[i + 1 :] != side[i]))) + i + 1
+            links = []
+            for x in np.flatnonzero(visitor).tolist():
+                rest = np.flatnonzero(~visitor & (label != label[x]))
                 if len(rest):
-                    hit = rest[post.survivors(sig, sig, np.full(len(rest), i), rest)]
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[i])), pa.array(ids[hit])], names=["a", "b"])
+                    hit = rest[post.survivors(sig, sig, np.full(len(rest), x), rest)[0]]
+                    links += [(int(ids[x]), int(ids[y])) for y in _join_labels(label, x, hit)]
+            yield from _pairs(links)
 
     return in_arrow(rows, run, "a long, b long")
 
 
-def _spanning(ids: np.ndarray, values: np.ndarray, first: np.ndarray, pct: int) -> list[tuple[int, int]]:
-    """Links of one cell, enough of them to join all that its exact links join.
+def _spanning(ids: np.ndarray, label: np.ndarray, visitor: np.ndarray, values: np.ndarray, first: np.ndarray, pct: int) -> list[tuple[int, int]]:
+    """Exact links between visitors and residents of one cell, enough of them to join all labels that links join.
 
-    Intersection sizes come from an inverted index of the cell's shingles; pairs
-    that earlier links have already joined are not counted again.
+    Intersection sizes come from an inverted index of the residents' shingles; a
+    pair whose labels earlier links have joined is not counted again.
     """
     n, sizes = len(ids), np.diff(first)
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(values, kind="stable")
-    sorted_values, posting = values[order], owner[order]
-    start = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    stop = np.append(start[1:], len(values))
-    token = np.empty(len(values), np.int64)
-    token[order] = np.repeat(np.arange(len(start)), stop - start)
-    group = np.arange(n)
+    label = np.unique(label, return_inverse=True)[1]
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    at_home = ~visitor[owner]
+    order = np.argsort(values[at_home], kind="stable")
+    found, posting = values[at_home][order], owner[at_home][order]
+    if not len(found):
+        return []
+    start = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    stop, found = np.append(start[1:], len(found)), found[start]
     links = []
-    for x in range(n):
-        if not sizes[x] or (group == group[x]).all():
+    for x in np.flatnonzero(visitor & (sizes > 0)).tolist():
+        other = ~visitor & (label != label[x]) & (sizes > 0)
+        if not other.any():
             continue
-        mine = token[first[x] : first[x + 1]]
-        mine = mine[stop[mine] - start[mine] > 1]
-        if not len(mine):
-            continue
-        lens = stop[mine] - start[mine]
-        at = np.arange(int(lens.sum())) + np.repeat(start[mine] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens)
-        shared = np.bincount(posting[at], minlength=n)
-        hit = np.flatnonzero((100 * shared >= pct * (sizes + sizes[x] - shared)) & (group != group[x]) & (sizes > 0))
-        for y in hit.tolist():
-            if group[y] != group[x]:
-                links.append((int(ids[x]), int(ids[y])))
-                group[group == group[y]] = group[x]
+        mine = values[first[x] : first[x + 1]]
+        at = np.minimum(np.searchsorted(found, mine), len(found) - 1)
+        at = at[found[at] == mine]
+        lens = stop[at] - start[at]
+        spots = np.arange(int(lens.sum())) + np.repeat(start[at] - (np.cumsum(lens) - lens), lens)
+        shared = np.bincount(posting[spots], minlength=n)
+        hits = np.flatnonzero(other & (100 * shared >= pct * (sizes + sizes[x] - shared)))
+        links += [(int(ids[x]), int(ids[y])) for y in _join_labels(label, x, hits)]
     return links
 
 
 def _exact_links(rows: DataFrame, words: int, pct: int) -> DataFrame:
-    """Exact links inside the cells of loose groups, from full texts."""
+    """Exact links inside cells, from full texts; a text counts only if it is that of its class (rows may share an id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _by_cell(batches):
-            values, first, at = [], [np.zeros(1, np.int64)], 0
-            ids = _column(table, "id")
-            for whole in table.combine_chunks().to_batches():
+            ids, label, visitor, want = (_column(table, c) for c in ("id", "label", "visitor", "d1"))
+            values, sizes = [], []
+            for whole in table.select(["text"]).combine_chunks().to_batches():
                 for part in T.slices(whole, "text"):
                     v, f = T.shingle_sets(part.column("text"), words)
                     values.append(v)
-                    first.append(f[1:] + at)
-                    at += len(v)
-            links = _spanning(ids, np.concatenate(values), np.concatenate(first), pct)
-            if links:
-                a, b = zip(*links, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    sizes.append(np.diff(f))
+            flat, counts = np.concatenate(values), np.concatenate(sizes)
+            del values, table
+            first = np.concatenate([[0], np.cumsum(counts)])
+            with np.errstate(over="ignore"):
+                own = T.segment(np.add, T.mix(flat), first).view(np.int64) == want
+            if not own.all():
+                flat = flat[np.repeat(own, counts)]
+                first = np.concatenate([[0], np.cumsum(counts * own)])
+            yield from _pairs(_spanning(ids, label, visitor, flat, first, pct))
 
     return in_arrow(rows, run, "a long, b long")
 
 
-def _cells(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def _cells(rows: DataFrame) -> DataFrame:
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     return rows.repartition(parts, "cell").sortWithinPartitions("cell")
 
 
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """members(id, n, hub) in cells with their hubs, which are the visitors: a hub with many members has a cell for each block of them."""
+    weighed = members.withColumn("w", F.col("n") + SET_WEIGHT)
+    sizes = weighed.groupBy("hub").agg(F.ceil(F.sum("w") / F.lit(CELL)).cast("int").alias("homes"))
+    cell = F.xxhash64("hub", "block")
+    placed = meet(weighed, "hub", sizes).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("homes")).cast("int"))
+    at_home = placed.select("id", cell.alias("cell"), F.lit(False).alias("visitor"))
+    hubs = sizes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("homes") - 1)))
+    return at_home.union(hubs.select(F.col("hub").alias("id"), cell.alias("cell"), F.lit(True)))
+
+
+def _bands_of(classes: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+    """(key, id, members, hubs) of the bands that two classes or more share; the hubs are the smallest, the largest and a hash-chosen one."""
+    keyed = cut(band_rows(classes, bands, rows, size))
+    hubs = (
+        keyed.groupBy("key")
+        .agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("h1"), F.max("id").alias("h2"), F.min(F.struct(F.xxhash64("id"), "id")).alias("h3"))
+        .where("members > 1")
+        .select("key", "members", F.array("h1", "h2", "h3.id").alias("hubs"))
+    )
+    shared = cut(meet(keyed, "key", hubs))
+    drop(keyed)
+    return shared
+
+
 def near_duplicate_classes(
     docs: DataFrame,
     *,
@@ -259,45 +343,69 @@ def near_duplicate_classes(
     distinct `words`-word shingles.  `bands` and `rows` should give
     (1 - (pct/100)^rows)^bands well below the number of links that may be lost.
     """
-    spark, size = docs.sparkSession, bands * rows
+    size = bands * rows
     post = Posterior(size, pct / 100, miss, batch)
-    rough = cut(sketch(require(docs, id_col, text_col), id_col, text_col, words, size))
-    sets = rough.where("id is not null and n > 0")
-    classes = cut(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("sig").alias("sig")))
-
-    keyed = band_rows(classes, bands, rows, size)
-    hubs = (
-        keyed.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("h1"), F.max("id").alias("h2"), F.min(F.struct(F.xxhash64("id"), "id")).alias("h3"))
-        .where("members > 1")
-        .select("key", "members", F.array("h1", "h2", "h3.id").alias("hubs"))
-    )
-    shared = cut(keyed.join(hubs, "key"))
+    texts = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
+    rough = cut(sketch(docs, id_col, text_col, words, size))
+    known, digest = rough.where("id is not null"), ["d1", "d2", "n"]
+
+    # ids of several rows; if the rows' sets differ, their classes get names of their own and are joined at the end
+    sets_of_id = known.groupBy("id").agg(F.min(F.struct(*digest)).alias("lo"), F.max(F.struct(*digest)).alias("hi"), F.count(F.lit(1)).alias("rows"))
+    repeated = cut(sets_of_id.where("rows > 1").select("id", (F.col("lo") != F.col("hi")).alias("odd")))
+    several = repeated.where("odd")
+    classes = known.where("n > 0").groupBy(*digest).agg(F.min("id").alias("low"), F.first("sig").alias("sig"))
+    classes = classes.join(several.withColumnRenamed("id", "low"), "low", "left")
+    classes = cut(classes.select(*digest, "low", "sig", F.when(F.col("odd"), F.xxhash64(*digest)).otherwise(F.col("low")).alias("id")))
+
+    shared = _bands_of(classes, bands, rows, size)
     star = shared.select("id", F.explode("hubs").alias("hub")).where("id <> hub")
     star = star.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = cut(_likely(star, classes, post, size))
-    loose = cut(star_components(near, "a", "b").toDF("id", "loose"))
+    groups = star_components(near, "a", "b")
 
-    placed = shared.select("key", "id", "members").join(loose, "id", "left").withColumn("loose", F.coalesce("loose", "id"))
-    mixed = placed.groupBy("key").agg(F.min("loose").alias("lo"), F.max("loose").alias("hi")).where("lo <> hi").select("key")
     # a band of two or three members had every pair tested against its hubs
-    open_rows = placed.where("members > 3").join(mixed, "key").join(classes.select("id", "sig"), "id")
-    crossing = cut(_cross_group(_cells(spark, in_cells(open_rows, "key", "members")), post, size))
-    near = near.union(crossing)
+    placed = shared.where("members > 3").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("loose"))
+    open_rows = in_cells(placed, "key", "loose", F.lit(1), BLOCK).join(classes.select("id", "sig"), "id")
+    crossing = cut(_cross_group(_cells(open_rows), post, size))
+    spent = [shared, near, groups, crossing]
     if crossing.take(1):
-        loose = cut(star_components(near, "a", "b").toDF("id", "loose"))
-
-    sizes = loose.groupBy("loose").agg(F.count(F.lit(1)).alias("members"))
-    named = loose.join(sizes, "loose")
-    texts = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    cells = in_cells(texts.join(named, "id"), "loose", "members")
-    links = cut(_exact_links(_cells(spark, cells), words, pct))
-    linked = star_components(links, "a", "b")
-
-    by_class = classes.select("d1", "d2", "n", "id").join(linked, "id", "left")
-    by_class = by_class.select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
-    mine = rough.select("id", "n", "d1", "d2").join(by_class, ["d1", "d2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+        groups = star_components(near.select("a", "b").union(crossing), "a", "b")
+        spent.append(groups)
+
+    # each member against its likeliest partner, then what that leaves apart inside a loose group
+    ends = near.union(crossing.withColumn("equal", F.lit(0)))
+    ends = ends.union(ends.select("b", "a", "equal"))
+    best = ends.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("equal", F.bitwise_not("b").alias("flipped"))).alias("best"))
+    best = best.select("id", F.bitwise_not("best.flipped").alias("hub"))
+    sets = classes.select("id", "low", "d1", "n")
+    once = texts.join(repeated, "id", "left_anti")
+    many = texts.join(repeated, "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
+    full = once.union(many).withColumnRenamed("id", "low")
+
+    def linked_in(cells: DataFrame) -> DataFrame:
+        out = cut(_exact_links(_cells(cells.join(sets.drop("n"), "id").join(full, "low").drop("low")), words, pct))
+        spent.append(out)
+        return out
+
+    links = linked_in(_with_hubs(best.join(sets.select("id", "n"), "id")).withColumn("label", F.col("id")))
+    joined = star_components(links, "a", "b")
+    apart = groups.withColumnRenamed("component", "loose").join(sets.select("id", "n"), "id").join(joined, "id", "left")
+    apart = apart.select("id", "loose", "n", F.coalesce("component", "id").alias("label"))
+    rest = linked_in(in_cells(apart, "loose", "label", F.col("n") + SET_WEIGHT, CELL).select("id", "cell", "visitor", "label"))
+    held = known.join(several.select("id"), "id").where("n > 0").select(F.col("id").alias("doc"), *digest).distinct()
+    held = held.join(classes.select(*digest, "id"), digest).select("doc", "id")
+    bridges = meet(held, "doc", held.groupBy("doc").agg(F.min("id").alias("first"))).select("first", "id")
+    linked = star_components(links.union(rest).union(bridges), "a", "b")
+
+    by_class = classes.select(*digest, "id", "low").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    lows = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
+    by_class = cut(by_class.join(lows, "component").select(*digest, "component_id"))
+    # an empty row of an id that has a set elsewhere belongs to that document
+    of_id = cut(known.join(several.select("id"), "id").where("n > 0").join(by_class, digest).groupBy("id").agg(F.min("component_id").alias("of_id")))
+    for table in (*spent, joined, linked, classes, repeated):
+        drop(table)
+    mine = rough.select("id", *digest).join(by_class, digest, "left").join(of_id, "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "of_id", "id"))
     return mine.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
