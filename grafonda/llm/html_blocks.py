@@ -14,9 +14,14 @@ task closure.
 
 Text: character references are decoded, white space inside a block (a line break tag
 counts as such) becomes one blank, blocks are trimmed and empty ones dropped.
-Scripts, styles, titles and other elements that are not rendered are never read.
+Scripts, styles, titles and other elements whose content is no text of the page are
+never read; formulas, drawings and what stands in for objects and scripts are text
+like any other.  An unread element without an end tag ends with the element around it.
 Nulls and edges: null and empty pages, and pages without main text, give the empty
-text; repeated rows give repeated results.
+text; a null id or url stays null; repeated rows give repeated results; an empty table
+gives an empty result; columns other than the named ones are not read, whatever their
+names.  Pages of any length are read whole, in time linear in their length; the labeller
+takes the blocks of a long page in stretches of bounded size and carries its state over.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,16 +42,19 @@ from pyspark.sql import functions as F
 from grafonda.llm import textkit as T
 from grafonda.llm.common import in_arrow, read, require
 
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""",
-    re.DOTALL,
-)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+EVENT = re.compile(r"""["'>]""")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
-#: Elements whose content is not rendered text (fixed values).
-UNREAD = set("script style title noscript template svg math iframe object textarea canvas audio video".split())
+#: Elements whose content is not text of the page: code, titles, what is typed into forms, other pages (fixed values).
+UNREAD = set("script style title template iframe textarea noembed noframes".split())
 #: Elements inside a line of text (fixed values).
-INLINE = set("a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label".split())
+INLINE = set(
+    "a abbr b bdi bdo big cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr label "
+    "math svg object canvas audio video picture map noscript ruby rb rt rp rtc data output meter progress acronym nobr source track param embed".split()
+)
+#: Elements with a vocabulary of their own, all of it inside the line.
+FOREIGN = ("math", "svg")
 #: Elements without an end tag (fixed values).
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end at the next one of their kind.
@@ -59,13 +68,90 @@ N_NAMES, N_WORDS, N_NUMBERS = 256, 64, 6
 WIDTH = len(TAGS) + 1 + N_NAMES + N_WORDS + N_NUMBERS
 
 
+class Tags:
+    """The tags of a page in order, in time linear in the page.
+
+    A tag ends at the first > outside quotes, or, where quotes do not pair up, at the
+    first > at all; without a > after it, < is text.  Scans that fail remember the
+    quotes they opened, so that none is followed twice.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last = page, page.rfind(">")
+        self.hopeless: set[int] = set()  # places where an opening quote leads to no end
+        self.known = {True: (0, -1), False: (0, -1)}  # (from, to): nothing lies between, `to` is the next quote or > (True) or the next > (False)
+        self.ends: dict[str, int] = {}
+
+    def _next(self, at: int, quotes: bool) -> int:
+        low, high = self.known[quotes]
+        if not low <= at <= high:
+            if quotes:
+                m = EVENT.search(self.page, at)
+                high = m.start() if m else len(self.page)
+            else:
+                high = self.page.find(">", at)
+            self.known[quotes] = (at, high)
+        return high
+
+    def _end(self, at: int) -> int:
+        """The > that ends the tag whose name ends at `at`."""
+        opened, spot = [], self._next(at, True)
+        while spot < len(self.page):
+            if self.page[spot] == ">":
+                return spot
+            if spot in self.hopeless:
+                break
+            opened.append(spot)
+            close = self.page.find(self.page[spot], spot + 1)
+            if close < 0:
+                break
+            spot = self._next(close + 1, True)
+        self.hopeless.update(opened)
+        return self._next(at, False)
+
+    def after(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, name, is an end tag, attributes) of the next tag, comment or declaration; the latter two have no name."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0:
+                return None
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if start > self.last:
+                start = page.find("<!--", start)
+                return None if start < 0 else (start, len(page), "", False, "")
+            if page[start + 1 : start + 2] in ("!", "?"):
+                return start, self._next(start, False) + 1, "", False, ""
+            m = NAME.match(page, start)
+            if m and m.end() <= self.last:
+                end = self._end(m.end())
+                return start, end + 1, m[1].lower(), page[start + 1] == "/", page[m.end() : end]
+            at = start + 1
+
+    def past(self, name: str, at: int, parents: dict[str, int]) -> int:
+        """Where the unread element that begins at `at` has ended: after its end tag, or, where none follows, at its parent's end."""
+        if name not in self.ends:
+            self.ends[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}", self.page, re.IGNORECASE)), default=-1)
+        if at <= self.ends[name]:
+            stop = self.page.find(">", re.compile(rf"</{re.escape(name)}", re.IGNORECASE).search(self.page, at).end())
+            return len(self.page) if stop < 0 else stop + 1
+        for m in re.compile(r"</([a-zA-Z][^\s/>]*)").finditer(self.page, at):
+            if parents.get(m[1].lower()):
+                return m.start()
+        return len(self.page)
+
+
 def blocks(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, path, share of characters in links) of each block, in page order; path is a tuple of (tag, names)."""
+    """(text, path, share of characters in links) of each block, in page order; path is (depth, slots that the elements around it set)."""
     out: list[tuple[str, tuple, float]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, tuple]] = []  # open block elements, each with its path
+    opened: Counter = Counter()
     pieces: list[str] = []
-    links = at = 0
+    links = at = foreign = 0
     in_link = False
+    tags = Tags(page)
 
     def add(raw: str) -> None:
         nonlocal links
@@ -79,91 +165,79 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path = tuple(x for x in stack if x[0] not in INLINE)
-                out.append((text, path, min(1.0, links / len(text))))
+                out.append((text, stack[-1][1] if stack else (0, frozenset()), min(1.0, links / len(text))))
             pieces.clear()
             links = 0
 
-    def close_open(kinds: set[str]) -> None:
-        """End an open element of these kinds, if only inline ones stand above it."""
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in kinds:
-                del stack[k:]
-                return
-            if stack[k][0] not in INLINE:
-                return
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
 
     while True:
-        m = TAG.search(page, at)
-        if m is None:
+        tag = tags.after(at)
+        if tag is None:
             add(page[at:])
             break
-        add(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        start, end, name, closes, attributes = tag
+        add(page[at:start])
+        at = end
         if not name:
             continue
-        end, attributes = (m[1], m[3]) if m[2] else (m[4], m[6])
         if name == "br":
             add(" ")
             continue
-        if name in UNREAD:
-            if not end and not attributes.endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}[^>]*>|\Z", re.IGNORECASE).search(page, at)
-                at = stop.end()
+        if name in UNREAD and not (foreign and name == "title"):
+            if not closes and not attributes.endswith("/"):
+                at = tags.past(name, at, opened)
             continue
-        if name in INLINE:
+        if name in INLINE or (foreign and name not in TAG_AT):
             if name == "a":
-                in_link = not end
-            if end:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k]
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            elif name not in VOID:
-                stack.append((name, ""))
+                in_link = not closes
+            if name in FOREIGN and not attributes.endswith("/"):
+                foreign = max(0, foreign + (-1 if closes else 1))
             continue
         flush()
-        in_link = False
-        if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-        else:
-            close_open({"p"})
-            if name in SAME:
-                close_open({name})
-            if name not in VOID:
-                names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
-                stack.append((name, names))
+        in_link, foreign = False, 0
+        if closes:
+            if opened[name]:
+                while pop() != name:
+                    pass
+            continue
+        if stack and stack[-1][0] == "p":
+            pop()
+        if name in SAME and stack and stack[-1][0] == name:
+            pop()
+        if name not in VOID:
+            names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes)) if attributes else ""
+            depth, slots = stack[-1][1] if stack else (0, frozenset())
+            own = _slots((name, names))
+            stack.append((name, (depth + 1, slots if own <= slots else slots | own)))
+            opened[name] += 1
     flush()
     return out
 
 
 @lru_cache(maxsize=4096)
-def _slots(element: tuple[str, str]) -> tuple[int, ...]:
+def _slots(element: tuple[str, str]) -> frozenset[int]:
     """Positions of an element's tag and of the parts of its names in the path vector."""
     base = len(TAGS) + 1
     names = {x.lower() for x in PART.findall(element[1])}
-    return (TAG_AT.get(element[0], len(TAGS)), *(base + zlib.crc32(x.encode()) % N_NAMES for x in names))
+    return frozenset((TAG_AT.get(element[0], len(TAGS)), *(base + zlib.crc32(x.encode()) % N_NAMES for x in names)))
 
 
-def features(found: list[tuple[str, tuple, float]]) -> np.ndarray:
-    """One row per block: path, hashed words, and a few numbers."""
+def features(found: list[tuple[str, tuple, float]], first: int = 0, total: int = 0) -> np.ndarray:
+    """One row per block: path, hashed words, and a few numbers; the blocks may be a stretch, from `first` on, of `total` ones."""
     x = np.zeros((len(found), WIDTH), np.float32)
     first_word = len(TAGS) + 1 + N_NAMES
-    for i, (text, path, links) in enumerate(found):
+    for i, (text, (depth, slots), links) in enumerate(found):
         row = x[i]
-        for element in path:
-            row[list(_slots(element))] = 1
+        row[list(slots)] = 1
         words = text.lower().split()
         spots = [zlib.crc32(w.encode()) % N_WORDS for w in words]
         bag = np.bincount(spots, minlength=N_WORDS)
         row[first_word : first_word + N_WORDS] = 0.5 * np.sqrt(bag / max(len(words), 1))
-        row[-N_NUMBERS:] = (np.log1p(len(text)) / 6, links, text[-1] in ".!?", min(len(path), 12) / 12, i / len(found), 1)
+        row[-N_NUMBERS:] = (np.log1p(len(text)) / 6, links, text[-1] in ".!?", min(depth, 12) / 12, (first + i) / (total or len(found)), 1)
     return x
 
 
@@ -187,10 +261,11 @@ class BiLstm:
         self.p["o"] = (rng.standard_normal(2 * hidden) / np.sqrt(hidden)).astype(np.float32)
         self.p["z"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, begin: tuple | None = None) -> tuple[np.ndarray, list]:
+        """States of one direction; without `keep`, the list holds the last (state, cell), from which `begin` goes on."""
         n, steps, h = x.shape[0], x.shape[1], self.hidden
         pre = x @ self.p["w" + d] + self.p["c" + d]
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        state, cell = begin or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         out, trail = np.zeros((n, steps, h), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             a = pre[:, t] + state @ self.p["u" + d]
@@ -204,13 +279,25 @@ class BiLstm:
             cell = np.where(m, new, cell)
             state = np.where(m, o * tanh, state)
             out[:, t] = state
-        return out, trail
+        return out, trail if keep else [state, cell]
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """(pages, blocks) of log odds for padded inputs (pages, blocks, width)."""
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in ("f", "b")], axis=2)
         return both @ self.p["o"] + self.p["z"]
 
+    def long_logits(self, found: list, step: int) -> np.ndarray:
+        """Log odds of the blocks of one long page, with the features of only `step` blocks at a time."""
+        out = np.zeros(len(found), np.float32) + self.p["z"]
+        starts = list(range(0, len(found), step))
+        for k, d in enumerate(("f", "b")):
+            begin = None
+            for a in starts if d == "f" else reversed(starts):
+                part = found[a : a + step]
+                states, begin = self._run(features(part, a, len(found))[None], np.ones((1, len(part)), bool), d, False, begin)
+                out[a : a + step] += states[0] @ self.p["o"][k * self.hidden : (k + 1) * self.hidden]
+        return out
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         h = self.hidden
         runs = {d: self._run(x, mask, d, True) for d in ("f", "b")}
@@ -384,11 +471,15 @@ def train(pages: int = 700, hidden: int = 20, epochs: int = 9, batch: int = 20,
 
 
 def label(model: BiLstm, pages: list[list[tuple[str, tuple, float]]], cells: int = 4096) -> list[np.ndarray]:
-    """Log odds of each block of each page; pages of similar length share a batch of at most about `cells` blocks."""
+    """Log odds of each block of each page; pages of similar length share a batch of at most `cells` blocks, longer pages go through in stretches."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
     at = 0
     while at < len(order):
+        if len(pages[order[at]]) > cells:
+            out[order[at]] = model.long_logits(pages[order[at]], cells)
+            at += 1
+            continue
         to = at + 1
         while to < len(order) and len(pages[order[to]]) * (to + 1 - at) <= cells:
             to += 1
