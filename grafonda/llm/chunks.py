@@ -87,7 +87,8 @@ class WordPieces:
     finds, so that `word`, `Word` and `word,` share one entry of a second cache; the
     new ones are encoded many at a time, and word-end marks tell where each ends.
     Chunks with letters whose lower case depends on context, with a special token's
-    string or not in normal form go to the library as they are.
+    string, not in normal form or with characters that Python's tables do not know
+    (the pattern library's are newer) go to the library as they are.
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n"
@@ -128,7 +129,9 @@ class WordPieces:
         return out
 
     def _is_odd(self, text: str) -> bool:
-        return any(x in text for x in self.ODD) or not (text.isascii() or unicodedata.is_normalized("NFC", text))
+        if any(x in text for x in self.ODD):
+            return True
+        return not text.isascii() and (not unicodedata.is_normalized("NFC", text) or any(unicodedata.category(c) == "Cn" for c in set(text)))
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
         joined = "\n".join(chunks)

@@ -4,12 +4,16 @@ Each partition packs its pieces online into a fixed number of open bins.  The op
 bins are kept by free space, with one bit per free space that occurs: the tightest
 bin that still takes a piece is the lowest set bit at or above the piece's length.
 When a piece fits nowhere and all places are taken, the fullest bin closes.  The pieces
-of bins still open at the end of a partition are packed again in a second round over
-few partitions, longest first and with no bound on the open bins (best fit decreasing),
-so the waste does not grow with the number of partitions.
+of bins still open at the end of a partition are packed again in the same way, in a
+second round over few partitions, so the waste does not grow with the number of
+partitions.  The second round takes them in the order of a hash: sorted by length they
+would fill a bounded number of bins much worse.
 
 Nulls and edges: a null text is empty and packs as the end mark alone; a null id
-stays null; equal rows are separate documents; an empty table gives an empty result.
+stays null; equal rows are separate documents; pieces of equal length fill the bin
+opened last among those of equal room; an empty table gives an empty result.  Texts of
+any length are encoded whole and cut into pieces of the size; columns other than the
+named ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,7 +129,7 @@ def _pieces(docs: DataFrame, path: str, end_id: int, size: int, places: int, kee
 
 
 def _repack(pieces: DataFrame, size: int, places: int) -> DataFrame:
-    """The pieces of bins that stayed open, longest first, with new bins and offsets."""
+    """The pieces of bins that stayed open, in their order, with new bins and offsets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -156,8 +160,8 @@ def pack(
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece of each document lies.
 
-    `places` bounds the open bins of a partition, `pieces_per_task` what one task of
-    the second round packs.  Workers keep the cache of encoded words for their next
+    `places` bounds the open bins of a task in both rounds, `pieces_per_task` what one
+    task of the second round packs.  Workers keep the cache of encoded words for their next
     task unless `keep_cache` is false, which saves memory for other work.
     """
     spark = docs.sparkSession
@@ -165,8 +169,8 @@ def pack(
     pieces = cut(_pieces(rows, tokenizer or tokenizer_path("word_bpe_49k.json"), end_id, size, places, keep_cache))
     left = pieces.where("is_open")
     tasks = max(1, -(-left.count() // pieces_per_task))
-    order = left.repartition(tasks, "bin").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    out = _repack(order, size, pieces_per_task).withColumnRenamed("bin", "sequence_id")
+    order = left.repartition(tasks, "bin").sortWithinPartitions(F.xxhash64("doc_id", "piece", "ids_crc32"), "doc_id", "piece", "ids_crc32")
+    out = _repack(order, size, places).withColumnRenamed("bin", "sequence_id")
     closed = pieces.where("not is_open").withColumnRenamed("bin", "sequence_id")
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return closed.select(*keep).union(out.select(*keep))
@@ -178,5 +182,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: what is left is packed."""
+    """Pipeline: what is left is packed; nulls, empty tables, long texts and extra columns as for `pack`."""
     return pack(docs, keep_cache=False)
