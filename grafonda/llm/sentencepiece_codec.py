@@ -8,11 +8,16 @@ the matching decoder.
 
 No piece crosses a marker from its left or holds a line feed in models of the usual
 kind; `Codec` checks this on the pieces and then encodes chunks that begin at marker
-runs and line feeds, each distinct chunk once, in multithreaded batches.  Every new
-chunk is also encoded by the sentencepiece library; should the two differ, the
-library's ids stand and the chunk counts as a difference.
-
-Nulls and edges: null and empty texts have no tokens and decode to the empty text.
+runs and line feeds, each distinct chunk once, in multithreaded batches.  Texts of
+other models are encoded whole, also in batches.  The ids are those of the rebuilt
+pipeline in every case.  Parity is verified: every new chunk, or whole text, is also
+encoded by the sentencepiece library, and each row says on how many of its chunks, or
+whether on its text, the two differ.
+
+Nulls and edges: null and empty texts have no tokens and decode to the empty text; a
+null id stays null; repeated rows and texts give repeated results; an empty table gives
+an empty result.  Texts of any length are encoded whole; columns other than the named
+ones are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -124,7 +129,11 @@ def build(model: dict, prefix: bool = True):  # noqa: ANN201
 
 
 class Codec:
-    """Encodes and decodes whole texts; `differences` counts chunks on which the two libraries disagreed."""
+    """Encodes and decodes whole texts.
+
+    `unequal` holds the chunks on which the two libraries disagree, `broken` those that
+    the rebuilt decoder does not give back.
+    """
 
     def __init__(self, path: str, threads: int = 2) -> None:
         import sentencepiece
@@ -143,60 +152,69 @@ class Codec:
         self.tail = build(self.model, prefix=False)
         if self.by_chunk:
             self.tail.normalizer = None  # chunks are marked already
-        self.differences = 0
+            self.tail.decoder = build(self.model | {"dummy_prefix": False}).decoder  # and keep their blanks
+        self.unequal: set[str] = set()
+        self.broken: set[str] = set()
         #: pairs of neighbouring characters inside pieces: no merge crosses any other pair
         self.joins = {t[i : i + 2] for t, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED) for i in range(len(t) - 1)}
         self.feed = next((i for i, p in enumerate(self.pieces) if p[0] == "<0x0A>"), -1)
         self.parts = ChunkCache(self._encode_new)
         self.cache = ChunkCache(self._encode_chunks)
-        self.bytes_of = [self._bytes(t, kind) for t, _, kind in self.pieces]
-
-    @staticmethod
-    def _bytes(text: str, kind: int) -> bytes:
-        if kind == BYTE:
-            return bytes([int(text[3:5], 16)])
-        return b"" if kind == CONTROL else text.replace(MARK, " ").encode()
 
     def _encode_new(self, chunks: list[str], many: int = 64) -> list[bytes]:
-        """Ids of new chunks, joined by line feeds, which no piece crosses, by both libraries."""
+        """Ids of new chunks, joined by line feeds, which no piece crosses, by both libraries, and decoded again."""
         feed, skip = self.feed, 1 + self.model["dummy_prefix"]
         groups = [chunks[i : i + many] for i in range(0, len(chunks), many)]
         ours = self.tail.encode_batch_fast(["\n".join(g) + "\n" for g in groups], add_special_tokens=False)
         theirs = self.native.encode(["\n" + "\n".join(g).replace(MARK, " ") + "\n" for g in groups], num_threads=1)
+        again = self.tail.decode_batch([e.ids for e in ours], skip_special_tokens=False)
         out: list[bytes] = []
-        for group, a, b in zip(groups, ours, theirs, strict=True):
+        for group, a, b, text in zip(groups, ours, theirs, again, strict=True):
             own = np.array(a.ids, "<u4")
             ends = np.flatnonzero(own == feed)
-            if a.ids == b[skip:] and len(ends) == len(group) and "\n" not in group:
+            if a.ids == b[skip:] and len(ends) == len(group) and "\n" not in group and text == "\n".join(group).replace(MARK, " ") + "\n":
                 out += cut_after(own.tobytes(), ends, drop=1)
                 continue
             for c in group:
-                native = self.native.encode("\n" + c.replace(MARK, " "))[skip:]
-                self.differences += native != self.tail.encode(c, add_special_tokens=False).ids
-                out.append(np.array(native, "<u4").tobytes())
+                alone = self.tail.encode(c, add_special_tokens=False).ids
+                if self.native.encode("\n" + c.replace(MARK, " "))[skip:] != alone:
+                    self.unequal.add(c)
+                if self.tail.decode(alone, skip_special_tokens=False) != c.replace(MARK, " "):
+                    self.broken.add(c)
+                out.append(np.array(alone, "<u4").tobytes())
         return out
 
     def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of new chunks; a last character that no piece joins to the one before it is looked up alone."""
-        joins = self.joins
-        split = [(c, "") if len(c) < 3 or c[-2:] in joins else (c[:-1], c[-1]) for c in chunks]
-        return self.parts.texts([[a, b] if b else [a] for a, b in split])
+        """Ids of new chunks."""
+        return self.parts.texts([self._split(c) for c in chunks])
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+    def _split(self, chunk: str) -> list[str]:
+        """The chunk, less a last character that no piece joins to the one before it, which is looked up alone."""
+        return [chunk] if len(chunk) < 3 or chunk[-2:] in self.joins else [chunk[:-1], chunk[-1]]
+
+    def encode_all(self, texts: list[str]) -> tuple[list[np.ndarray], list[int], list[bool]]:
+        """For each text its ids, the number of its chunks (or 1 for the whole text) on which the libraries differ, and whether decoding gives it back."""
         if not self.by_chunk:
-            return [np.array(x, "<u4") for x in self.native.encode(texts)]
+            ours = [e.ids if t else [] for t, e in zip(texts, self.whole.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
+            theirs = self.native.encode(texts)
+            ids = [np.array(x, "<u4") for x in ours]
+            again = [x == t.replace(MARK, " ") for x, t in zip(self.decode_all(ids), texts, strict=True)]
+            return ids, [int(x != y) for x, y in zip(ours, theirs, strict=True)], again
         front = MARK if self.model["dummy_prefix"] else ""
         chunks = [self.chunk.findall(front + t.replace(" ", MARK)) if t else [] for t in texts]
-        return [numbers(raw) for raw in self.cache.texts(chunks)]
+        ids = [numbers(raw) for raw in self.cache.texts(chunks)]
+        unequal, broken = ([sum(not bad.isdisjoint(self._split(c)) for c in own) if bad else 0 for own in chunks] for bad in (self.unequal, self.broken))
+        return ids, unequal, [not n for n in broken]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0][0]
+
+    def decode_all(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of ids, by the rebuilt decoder."""
+        return self.whole.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
     def decode(self, ids: np.ndarray) -> str:
-        table = self.bytes_of
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text.removeprefix(" ") if self.model["dummy_prefix"] else text
+        return self.decode_all([ids])[0]
 
 
 @lru_cache(maxsize=2)
@@ -205,9 +223,10 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_crc32, n_byte_tokens, round_trip[, ids]) of every text.
+    """(id, n_tokens, ids_crc32, n_byte_tokens, round_trip, n_different[, ids]) of every text.
 
-    round_trip: decoding gives the text back, blanks for markers.
+    round_trip: decoding gives the text back, blanks for markers.  n_different: chunks
+    that the sentencepiece library encodes otherwise, 0 where the two agree.
     """
     spark = docs.sparkSession
     path = model or tokenizer_path("piece_bpe_32k.model")
@@ -218,25 +237,40 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
         for whole in batches:
             for part in T.slices(whole, "text", 1 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = c.encode_all(texts)
+                ids, different, again = c.encode_all(texts)
                 columns = [
                     part.column("id"),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
                     pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                    pa.array([c.decode(x) == t.replace(MARK, " ") for x, t in zip(ids, texts, strict=True)]),
+                    pa.array(again, pa.bool_()),
+                    pa.array(different, pa.int64()),
                 ]
-                names = ["id", "n_tokens", "ids_crc32", "n_byte_tokens", "round_trip"]
+                names = ["id", "n_tokens", "ids_crc32", "n_byte_tokens", "round_trip", "n_different"]
                 if with_ids:
                     columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     rows = require(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    schema = "id long, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean" + ", ids array<int>" * with_ids
+    schema = "id long, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean, n_different long" + ", ids array<int>" * with_ids
     return in_arrow(rows, run, schema)
 
 
+def decode(rows: DataFrame, *, id_col: str = "id", ids_col: str = "ids", model: str | None = None) -> DataFrame:
+    """(id, text) of every row of ids; null and empty ids give the empty text."""
+    path = model or tokenizer_path("piece_bpe_32k.model")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            ids = [np.array(x or [], np.uint32) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(c.decode_all(ids), pa.string())], names=["id", "text"])
+
+    given = require(rows, id_col, ids_col).toDF("id", "ids").select(F.col("id").cast("long").alias("id"), F.col("ids").cast("array<int>").alias("ids"))
+    return in_arrow(given, run, "id long, text string")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: token counts, checksums of the ids and round trips of all documents."""
     return encode(read(spark, sf_dir, "documents"), with_ids=False).withColumnRenamed("id", "doc_id")
