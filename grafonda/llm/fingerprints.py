@@ -8,13 +8,15 @@ sets' Jaccard similarity.  `near_duplicates` joins signature bands in Spark and
 verifies the Jaccard similarity of full shingle sets.
 
 Comparing each document with the one after it in an order needs no window over the
-whole table: ids are cut at quantiles into ranges, each range is sorted in one
+whole table: the order is cut at quantiles into ranges, each range is sorted in one
 task, and the first row of a range is also sent to the end of the range before it.
 
 Nulls and edges: a null text is empty; all texts without words share one
 fingerprint and are alike to the degree 1; null ids come after all others in
-descending order; rows with equal ids are ordered by text; the only row of a table
-is its own next one.
+descending order; rows with equal ids are ordered by a hash of the text, then by the
+text (rows equal in both are interchangeable and lie in one range); the only row of a
+table is its own next one; an empty table gives an empty result.  Texts of any length
+are read whole; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
@@ -70,51 +72,86 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-def _ranges(rows: DataFrame, per_range: int) -> tuple[np.ndarray, list[int]]:
-    """Ascending range bounds on `key` (at most 4096), and the largest key of each range that has rows, descending.
+class Ranges:
+    """Cuts an order by (key, tie) into ranges of about `per_range` rows; range 0 comes first in descending order.
 
-    Both lists have an entry for each range and do not grow with the rows.
+    Keys are cut at quantiles, found in two steps so that neither holds more than
+    COARSE of them at a time.  A key that several quantiles fall on has rows for
+    several ranges: those rows are dealt on by `tie`, a hash of the text.  What is
+    kept is one bound for `per_range` rows.
     """
-    n = rows.count()
-    count = int(min(4096, max(1, n // per_range)))
-    bounds = np.zeros(0, np.int64)
-    if count > 1:
-        shares = [i / count for i in range(1, count)]
-        got = rows.agg(F.percentile_approx("key", shares, 20_000).alias("q")).first()["q"]
-        bounds = np.unique(np.array(got, np.int64))
-
-    def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = np.asarray(batch.column("key"))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.searchsorted(bounds, key))], names=["key", "range"])
 
-    heads = in_arrow(rows, spot, "key long, range long").groupBy("range").agg(F.max("key").alias("head")).collect()
-    return bounds, sorted((r["head"] for r in heads), reverse=True)
+    COARSE = 4096
+
+    def __init__(self, rows: DataFrame, per_range: int) -> None:
+        count = max(1, rows.count() // per_range)
+        coarse = min(count, self.COARSE)
+        bounds = self._quantiles(rows, [], coarse)[0] if count > 1 else []
+        fine = -(-count // coarse)
+        if fine > 1:
+            inner = self._quantiles(rows, sorted(set(bounds)), fine)
+            bounds = sorted([*bounds, *(x for xs in inner for x in xs)])
+        self.keys, self.slots = np.unique(np.array(bounds, np.int64), return_counts=True)
+        self.first = np.concatenate([[0], np.cumsum(self.slots)])
+
+    @staticmethod
+    def _quantiles(rows: DataFrame, bounds: list[int], count: int) -> list[list[int]]:
+        """For each stretch between bounds, the keys that cut its rows into `count` parts."""
+        shares, known = [i / count for i in range(1, count)], np.array(bounds, np.int64)
+
+        def spot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.searchsorted(known, np.asarray(batch.column("key"))))], names=["key", "stretch"])
+
+        placed = in_arrow(rows.select("key"), spot, "key long, stretch long")
+        return [r["q"] for r in placed.groupBy("stretch").agg(F.percentile_approx("key", shares, 20_000).alias("q")).collect()]
+
+    def of(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """The range of each row, counted from the end of the order."""
+        at = np.searchsorted(self.keys, key)
+        out = self.first[at]
+        same = np.flatnonzero(at < len(self.keys))
+        same = same[self.keys[at[same]] == key[same]]
+        share = (tie[same].view(np.uint64) >> np.uint64(11)).astype(np.float64) / 2**53
+        out[same] += (share * self.slots[at[same]]).astype(np.int64)
+        return out
 
 
 def with_next(docs: DataFrame, apply, schema: str, per_range: int = 4000) -> DataFrame:  # noqa: ANN001
     """apply(ids, texts, next_texts) -> RecordBatch over consecutive rows (id, text) in descending order of id.
 
-    The row after the last is the first.
+    The row after the last is the first.  Ranges are sorted in one task each; the
+    first row of a range, which is known by its key, tie and text, is also sent to the
+    end of the range before it.
     """
     least = -(2**63)
-    rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("id", F.lit(least)).alias("key"))
-    bounds, heads = _ranges(rows.select("key"), per_range)
-    #: ranges are numbered in the order of processing; head i is the first row of range i
-    following = {head: (i - 1) % len(heads) for i, head in enumerate(heads)}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("id", text.alias("text"), F.coalesce("id", F.lit(least)).alias("key"), F.xxhash64(text).alias("tie"))
+    ranges = Ranges(rows.select("key"), per_range)
+    flip = np.int64(least)  # an unsigned order of ties
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, tie = (np.asarray(batch.column(c)) for c in ("key", "tie"))
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(key, tie)), batch.column("key"), pa.array(tie ^ flip)], names=["range", "key", "tie"])
+
+    found = in_arrow(rows.select("key", "tie"), placed, "range long, key long, tie long").groupBy("range").agg(F.max(F.struct("key", "tie")).alias("head"))
+    heads = sorted(((r["range"], r["head"]["key"], r["head"]["tie"]) for r in found.collect()), reverse=True)
+    #: ranges in the order of processing; the rows of a head's key and tie are copied to the range before it
+    before = {(key, tie): (heads[i - 1][0], at) for i, (at, key, tie) in enumerate(heads)}
+    head_keys = np.array(sorted({key for key, _ in before}), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "text", "key", "range", "guard"]
-        ascending = np.array(heads[::-1])
+        names = ["id", "text", "key", "tie", "range", "guard"]
         for batch in batches:
-            key = np.asarray(batch.column("key"))
-            own = len(ascending) - 1 - np.searchsorted(ascending, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int64)), pa.array(np.zeros(len(key), bool))], names=names)
-            edge = np.flatnonzero(np.isin(key, ascending))
-            if len(edge):
-                to = [following[k] for k in key[edge].tolist()]
-                copies = batch.take(pa.array(edge))
-                yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(to, pa.int64()), pa.array(np.ones(len(edge), bool))], names=names)
+            key, tie = (np.asarray(batch.column(c)) for c in ("key", "tie"))
+            own, order = ranges.of(key, tie), tie ^ flip
+            columns = [*(batch.column(c) for c in ("id", "text", "key")), pa.array(order)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own), pa.array(np.zeros(len(key), bool))], names=names)
+            near = [i for i in np.flatnonzero(np.isin(key, head_keys)).tolist() if (int(key[i]), int(order[i])) in before]
+            if near:
+                copies, to = pa.RecordBatch.from_arrays(columns, names=names[:4]).take(pa.array(near)), [before[int(key[i]), int(order[i])][0] for i in near]
+                yield pa.RecordBatch.from_arrays([*copies.columns, pa.array(to, pa.int64()), pa.array(np.ones(len(near), bool))], names=names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row, which still waits for its next one
@@ -130,9 +167,9 @@ def with_next(docs: DataFrame, apply, schema: str, per_range: int = 4000) -> Dat
                 if done:
                     yield apply(*(list(x) for x in zip(*done, strict=True)))
 
-    dealt = in_arrow(rows, deal, "id long, text string, key long, range long, guard boolean")
+    dealt = in_arrow(rows, deal, "id long, text string, key long, tie long, range long, guard boolean")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(heads) // 4, 1)
-    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "guard", F.desc("key"), "text")
+    ordered = dealt.repartition(parts, "range").sortWithinPartitions("range", "guard", F.desc("key"), F.desc("tie"), "text")
     return in_arrow(ordered.select("id", "text", "range", "guard"), walk, schema)
 
 
