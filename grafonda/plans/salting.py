@@ -1,0 +1,21 @@
+"""Joins with a summary per key that no frequent key makes uneven."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Stretches that the rows of one key are dealt to.
+SALTS = 256
+
+
+def meet(rows: DataFrame, key: str, summary: DataFrame, by: str = "id") -> DataFrame:
+    """rows(key, by, ...) joined with the one row that summary has for a key.
+
+    Rows are dealt by key and a salt made of `by`, and a key's summary goes to the
+    salts that occur with it: no key, however frequent, lies in one task, and the
+    copies are never more than the rows.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    copies = salted.select(key, "salt").distinct().join(summary, key)
+    return salted.join(copies, [key, "salt"]).drop("salt")
