@@ -4,8 +4,8 @@ Each round replaces the edge table by edges to local minima: the large-star step
 hangs every larger neighbour of a vertex on the smallest vertex it sees, the
 small-star step does the same for the smaller neighbours.  Paths shrink
 geometrically, so the number of rounds grows with the logarithm of the longest
-chain.  Every step is a map-side combined minimum and a salted join; a hub only costs
-rows, never a task of its own.
+chain.  Every step is a map-side combined minimum and a join that can be split; a hub
+only costs rows, never a task of its own.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from grafonda.functions.orderings import Ordering
 from grafonda.operators.graph import Graph, dense_index
 from grafonda.plans.fixpoint import fixpoint
-from grafonda.plans.salting import meet
+from grafonda.plans.skew import meet
 from grafonda.plans.scratch import cut, drop
 
 
@@ -27,14 +27,14 @@ def _lowest(arcs: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     arcs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hung = meet(arcs, "u", _lowest(arcs), "v").where("v > u")
+    hung = meet(arcs, "u", _lowest(arcs)).where("v > u")
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """edges have u > v, so the grouping side is the larger end."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    hung = meet(edges, "u", low, "v").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    hung = meet(edges, "u", low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return hung.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
