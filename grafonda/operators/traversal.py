@@ -66,8 +66,19 @@ def auto_delta(graph: Graph) -> int:
 
 
 def sssp_delta(graph: Graph, sources: DataFrame, width: int = 0) -> DataFrame:
-    """Buckets of `width` distances; 0 or less chooses it from weights and degrees."""
-    return sssp(graph, sources, delta(width if width > 0 else auto_delta(graph)))
+    """Buckets of `width` distances; 0 or less chooses it from weights and degrees.
+
+    A bucket is drained along arcs of up to that weight; what it settled then sends
+    along the heavier ones, once.
+    """
+    width = width if width > 0 else auto_delta(graph)
+    found = fixpoint(graph.vertices, graph.edges, _start(sources, "bigint"), lambda v, w: v + w, ordering=delta(width), light=F.col("weight") <= width)
+    return found.select("id", F.col("value").alias("dist"))
+
+
+def sssp_buckets(graph: Graph, sources: DataFrame, width: int) -> DataFrame:
+    """Buckets of `width` distances without that split: every round relaxes all arcs of the lowest bucket's items."""
+    return sssp(graph, sources, delta(width))
 
 
 def sssp_dijkstra(graph: Graph, sources: DataFrame) -> DataFrame:

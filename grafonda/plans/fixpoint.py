@@ -1,23 +1,25 @@
 """The loop behind the monotone kernels.
 
-state(id, cand, level, open) holds the best value of every vertex, null where none has
-arrived; open vertices have not sent their value yet.  Each round takes the open
-vertices of the lowest bucket, sends their values along their arcs, keeps the best
-item per vertex (a map-side combined minimum) and lets it replace the state where it
-is better, which opens that vertex.  A worse value that waits is replaced where it
-stands, so what is pending never exceeds one item per vertex.  A round writes one
-table, from which the next round starts, so the plan never grows.
+The values of all vertices stand in a table that a round never rewrites (`Falling`);
+what is pending is a table of items, at most one per vertex.  Each round takes the
+items of the lowest bucket, sends their values along their arcs and keeps the least
+item per target, combined on the map side.  Targets are looked up in the values, and
+the rows that are better than what stands there are written: they are the round's
+change of the values and the new items.  So what a round writes follows the frontier,
+not the graph, and the plan never grows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grafonda.functions.orderings import Ordering, chaotic
+from grafonda.plans.deltas import Falling
 from grafonda.plans.scratch import cut, drop
 
 
@@ -37,6 +39,12 @@ class WorkStats:
         return self.edges / seconds if seconds else 0.0
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Spark would send the table to every task, by its measured size."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+
+
 def fixpoint(
     vertices: DataFrame,
     edges: DataFrame,
@@ -45,8 +53,9 @@ def fixpoint(
     *,
     ordering: Ordering | None = None,
     slack: Callable[[int], int] | None = None,
+    light: Column | None = None,
     max_level: int | None = None,
-    max_rounds: int = 10_000,
+    max_rounds: int | None = None,
     stats: WorkStats | None = None,
 ) -> DataFrame:
     """(id, value, level) of every vertex: the least value over all paths from `start`(id, cand).
@@ -55,47 +64,82 @@ def fixpoint(
     sends along an arc and must not decrease when the value does not.  Level counts
     the arcs of the path that brought the value; with `max_level`, paths end there.
     slack(round), rounds from 0, lets buckets up to that much above the lowest run too.
+    With `light`, a condition on weight, items send along light arcs only while their
+    bucket is being drained; what the bucket settled then sends along the other arcs
+    once.  Without `max_rounds` the loop ends when nothing is pending.
     """
     bucket_of = (ordering or chaotic())()
     bucket = F.lit(0).cast("bigint") if bucket_of is None else bucket_of
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)
     arcs = cut(edges.select("src", "dst", weight.alias("weight")))
     kind = start.schema["cand"].dataType
-    first = start.where("cand is not null").groupBy("id").agg(F.min("cand").alias("cand"))
-    begun = vertices.join(first, "id", "left").select("id", F.col("cand").cast(kind).alias("cand"), F.when(F.col("cand").isNotNull(), 0).alias("level"))
-    state = cut(begun.withColumns({"open": F.col("cand").isNotNull(), "fresh": F.col("cand").isNotNull(), "again": F.lit(False), "hits": F.lit(0).cast("bigint")}))
-    for number in range(max_rounds):
-        waits = F.col("open") if max_level is None else F.col("open") & (F.col("level") < max_level)
-        figures = [F.min(F.when(waits, bucket))]
-        if stats is not None:
-            figures += [F.count_if("fresh"), F.count_if("again"), F.sum("hits")]
-        lowest, *work = state.agg(*figures).first()
+    item = F.struct(F.col("cand").cast(kind).alias("cand"), F.col("level").cast("int").alias("level"))
+    first = start.where("cand is not null").groupBy("id").agg(F.min("cand").alias("cand")).withColumn("level", F.lit(0))
+    values = Falling(vertices.join(first, "id", "left").select("id", F.when(F.col("cand").isNotNull(), item).alias("value")))
+    waits = F.lit(True) if max_level is None else F.col("level") < max_level
+    small = _fits_broadcast(values.base)
+    settled: list[DataFrame] = []  # what ran in the bucket at hand
+    current = None
+
+    def relax(live: DataFrame, along: DataFrame, rest: DataFrame | None) -> tuple[DataFrame, int]:
+        """What is pending after a round, written: the rows that became better (changed, and fresh if they had no value) and the rest that did not; and the number of items that arrived."""
+        sent = live.select(F.col("id").alias("src"), "cand", (F.col("level") + 1).cast("int").alias("level")).join(along, "src")
+        sent = sent.select(F.col("dst").alias("id"), message(F.col("cand"), F.col("weight")).cast(kind).alias("cand"), "level").where("cand is not null")
+        best = sent.groupBy("id").agg(F.min(item).alias("value"), F.count(F.lit(1)).alias("n"))
+        if small:  # all values are looked at in the same job
+            now = values.table()
+        else:  # a written table has a known size: if it is small, it is sent to the values, and they are not moved
+            best = cut(best)
+            now = values.of(best)
+        met = best.join(now.withColumnRenamed("value", "now"), "id")
+        arrived = 0 if stats is None else met.agg(F.sum("n")).first()[0] or 0
+        better = met.where("now is null or value.cand < now.cand").select("id", "value", F.col("now").isNull().alias("fresh"))
+        if rest is not None:
+            both = better.withColumnRenamed("value", "new").join(rest.select("id", "value"), "id", "full_outer")
+            better = both.select("id", F.coalesce("new", "value").alias("value"), F.col("new").isNotNull().alias("changed"), F.coalesce("fresh", F.lit(False)).alias("fresh"))
+        else:
+            better = better.withColumn("changed", F.lit(True))
+        step = cut(better.select("id", "value.cand", "value.level", "changed", "fresh", "value"))
+        if not small:
+            drop(best)
+        return step, arrived
+
+    begun = values.base.where("value is not null")
+    pending, arrived = cut(begun.select("id", "value.cand", "value.level", F.lit(True).alias("changed"), F.lit(True).alias("fresh"), "value")), 0
+    number = 0
+    while max_rounds is None or number <= max_rounds:
+        counts = [F.count(F.lit(1)), F.count_if("changed"), F.count_if("fresh")]
+        lowest, highest, rows, moved, fresh = pending.agg(F.min(F.when(waits, bucket)), F.max(F.when(waits, bucket)), *counts).first()
+        if number:
+            values.add(pending, rows)
         if stats is not None:
-            useful, invalidated, hits = work[0], work[1], work[2] or 0
-            tried = hits if number else useful  # the values that began count as items that were of use
-            stats.useful, stats.invalidated = stats.useful + useful, stats.invalidated + invalidated
-            stats.rejected, stats.edges = stats.rejected + tried - useful - invalidated, stats.edges + hits
+            tried = arrived if number else moved  # the values that began count as items that were of use
+            stats.useful, stats.invalidated = stats.useful + fresh, stats.invalidated + moved - fresh
+            stats.rejected, stats.edges = stats.rejected + tried - moved, stats.edges + arrived
             stats.rounds += 1
-            stats.by_round.append((useful, invalidated, tried - useful - invalidated))
-        if lowest is None:
-            drop(arcs)
-            return state.select("id", F.col("cand").alias("value"), "level")
-        runs = F.coalesce(waits & (bucket <= lowest + (slack(number) if slack else 0)), F.lit(False))
-        live = state.where(runs).select(F.col("id").alias("src"), "cand", F.col("level") + 1)
-        sent = live.toDF("src", "cand", "level").join(arcs, "src").select(F.col("dst").alias("id"), message(F.col("cand"), F.col("weight")).cast(kind).alias("cand"), "level")
-        best = sent.groupBy("id").agg(F.min(F.struct("cand", "level")).alias("best"), F.count(F.lit(1)).alias("n"))
-        better = F.col("best.cand").isNotNull() & (F.col("cand").isNull() | (F.col("best.cand") < F.col("cand")))
-        after = cut(
-            state.withColumn("ran", runs).drop("fresh", "again", "hits").join(best, "id", "left").select(
-                "id",
-                F.when(better, F.col("best.cand")).otherwise(F.col("cand")).alias("cand"),
-                F.when(better, F.col("best.level")).otherwise(F.col("level")).alias("level"),
-                (better | (F.col("open") & ~F.col("ran"))).alias("open"),
-                (better & F.col("cand").isNull()).alias("fresh"),
-                (better & F.col("cand").isNotNull()).alias("again"),
-                F.coalesce("n", F.lit(0).cast("bigint")).alias("hits"),
-            )
-        )
-        drop(state)
-        state = after
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+            stats.by_round.append((fresh, moved - fresh, tried - moved))
+        if settled and lowest != current:  # the bucket is drained: its last values go along the heavy arcs
+            ran = cut(reduce(DataFrame.union, settled).select("id").distinct())
+            following = relax(values.of(ran).select("id", "value.cand", "value.level"), arcs.where(~light), pending)
+            for table in (*settled, ran):
+                drop(table)
+            settled = []
+        elif lowest is None:
+            break
+        else:
+            upto = lowest + (slack(number) if slack else 0)
+            live = pending.where(waits & (bucket <= upto))
+            if light is not None:
+                live = cut(live.select("id", "cand", "level"))
+                settled.append(live)
+                current = lowest
+            rest = pending.where(waits & (bucket > upto)) if highest > upto else None
+            following = relax(live, arcs if light is None else arcs.where(light), rest)
+        if not number:
+            drop(pending)  # all others belong to the values
+        pending, arrived = following
+        number += 1
+    else:
+        raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    drop(arcs)
+    return values.finish().select("id", "value.cand", "value.level").toDF("id", "value", "level")
