@@ -190,3 +190,19 @@ def running_sum(rows: DataFrame, column: str, *order: Column) -> DataFrame:
     """rows with upto, the sum of the column over this row and all before it; made like `dense_index`."""
     found = _numbered(rows, F.sum(column), F.sum(column), *order)
     return found.select(*rows.columns, (F.col("_before") + F.col("_at")).cast("bigint").alias("upto"))
+
+
+def followers(rows: DataFrame, column: str, *order: Column) -> DataFrame:
+    """rows with next, the column's value in the next row of the order; the last row, which has none, is left out.
+
+    Range partitions are sorted on their own; the first row of each is also handed to
+    the partition before it.
+    """
+    keyed = rows.select("*", F.struct(*order).alias("_key"))
+    parts = cut(keyed.repartitionByRange("_key").withColumn("_part", F.spark_partition_id()))
+    heads = parts.groupBy("_part").agg(F.min(F.struct("_key", F.col(column).alias("v"))).alias("head")).orderBy("_part")
+    to = heads.select(F.lag("_part").over(Window.orderBy("_part")).alias("_part"), F.col("head.v").alias("_head")).where("_part is not null")
+    inside = F.lead(F.struct(F.col(column).alias("v"))).over(Window.partitionBy("_part").orderBy("_key"))
+    found = parts.withColumn("_next", inside).join(F.broadcast(to), "_part", "left")  # one row per partition
+    nxt = F.when(F.col("_next").isNotNull(), F.col("_next.v")).otherwise(F.col("_head"))
+    return found.where("_next is not null or _head is not null").select(*rows.columns, nxt.alias("next"))

@@ -23,10 +23,10 @@ def oriented(graph: Graph) -> DataFrame:
 
 
 def enumerate_triangles(graph: Graph) -> DataFrame:
-    """(a, b, c) with a < b < c: wedges of oriented arcs whose ends are joined by a third one."""
+    """(a, b, c) with a < b < c: wedges of oriented arcs, each once, whose ends are joined by a third edge."""
     e = oriented(graph)
-    wedges = e.toDF("u", "v").join(e.toDF("u", "w"), "u").where("v <> w")
-    closed = wedges.join(e.toDF("v", "w"), ["v", "w"])
+    wedges = e.toDF("u", "v").join(e.toDF("u", "w"), "u").where("v < w")
+    closed = wedges.join(e.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("w")), ["v", "w"])
     t = F.sort_array(F.array("u", "v", "w"))
     return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 

@@ -1,9 +1,10 @@
 """Text and Parquet readers of edge tables.
 
 All readers are plain scans of text with expressions over each line; a path may be a
-file, a folder of segments or a pattern.  Files with a header or with vertices by
-line number are told apart by what a line says, except METIS adjacency files, whose
-line numbers are vertex ids: there, lines are numbered per file part by part.
+file, a folder of segments or a pattern.  Where a line's place matters (the header of
+a coordinate file, the vertices of a METIS file), lines are ordered by the file's name,
+the place of the scanned stretch in the file and the row in that stretch, so it makes
+no difference in which order files and stretches are scanned.
 """
 
 from __future__ import annotations
@@ -56,11 +57,19 @@ def matrix_market_header(spark: SparkSession, path: str) -> tuple[int, int]:
     return max(rows, cols), entries
 
 
+def _placed(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, block, at) of every line: file by name, place of the scan's stretch in it, and the row in that stretch."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return lines.withColumn("at", F.monotonically_increasing_id())
+
+
 def matrix_market(spark: SparkSession, path: str, *, one_based: bool = True, flip: bool = False, preprocess: bool = False) -> DataFrame:
-    """(src, dst) of a coordinate file; its header is the one line of three numbers before the pairs."""
-    header = _lines(spark, path, "%").first()[0]
-    lines = _lines(spark, path, "%").where(F.col("value") != header)
-    edges = _fields(lines, one_based, False)
+    """(src, dst) of a coordinate file, or of several; the first line of each file that is no comment is its header, whatever it says."""
+    lines = _placed(spark, path).withColumn("value", F.trim("value")).where((F.col("value") != "") & ~F.col("value").startswith("%"))
+    place = F.struct("block", "at")
+    first = lines.groupBy("file").agg(F.min(place).alias("header"))  # a row per file
+    body = lines.join(first, "file").where(place != F.col("header")).select("value")
+    edges = _fields(body, one_based, False)
     return _flip(edges.where("src <> dst").distinct() if preprocess else edges, flip)
 
 
@@ -94,10 +103,12 @@ def dimacs(spark: SparkSession, path: str) -> Graph:
 
 
 def metis(spark: SparkSession, path: str) -> Graph:
-    """Header `n m [fmt]`, then one line of 1-based neighbours per vertex, with weights if fmt ends in 1."""
-    order = [F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
-    lines = spark.read.text(path).select("value", *order).where(~F.col("value").startswith("%"))
-    numbered = dense_index(lines, F.col("at")).select("value", F.col("lid").alias("line"))
+    """Header `n m [fmt]`, then one line of 1-based neighbours per vertex, with weights if fmt ends in 1.
+
+    Several files are read one after another in the order of their names, as one.
+    """
+    lines = _placed(spark, path).where(~F.col("value").startswith("%"))
+    numbered = dense_index(lines, F.col("file"), F.col("block"), F.col("at")).select("value", F.col("lid").alias("line"))
     head = numbered.where("line = 0").first()[0].split()
     weighted = len(head) > 2 and head[2].endswith("1")
     n = int(head[0])
