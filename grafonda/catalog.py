@@ -1,65 +1,58 @@
 """Registered queries of the graph engine and their SQL.
 
-The graphs come from the relational tables: parts bought together in large lines
-(undirected, weighted by a formula of the ids), customers and suppliers that trade
-(bipartite), and users that follow each other in the event stream (directed).
+The graphs come from whole relational tables: parts sold in one order at the same
+discount (undirected, weighted by a formula of the ids), customers and suppliers that
+trade (bipartite), and users that follow each other in the event stream (directed).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grafonda.functions import bits, orderings
 from grafonda.operators import checks, components, cores, independent, ranks, summaries, traversal, triangles
-from grafonda.operators.graph import Graph
+from grafonda.operators.graph import Graph, followers
 from grafonda.plans.fixpoint import WorkStats
 from grafonda.plans.scratch import cut, shared_dir
 from grafonda.sources import generators, readers, writers
 from grafonda.streaming.ingest import ComponentStream
 
-#: Least quantity of the lines that make the co-purchase graph.
-LARGE = 40
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, sf_dir: str, least: int = LARGE) -> DataFrame:
-    """(a, b): parts of one order, both in lines of that quantity or more, a < b."""
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
-    x = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("a"))
-    y = lines.select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("b"))
-    return x.join(y, "o").where("a < b").select("a", "b").distinct()
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b): parts of one order with the same discount, a < b."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_discount", "l_partkey")
+    x, y = lines.withColumnRenamed("l_partkey", "a"), lines.withColumnRenamed("l_partkey", "b")
+    return x.join(y, ["l_orderkey", "l_discount"]).where("a < b").select("a", "b").distinct()
 
 
-def purchases(spark: SparkSession, sf_dir: str, least: int = LARGE) -> Graph:
+def purchases(spark: SparkSession, sf_dir: str) -> Graph:
     weight = (1 + (F.col("a") * 31 + F.col("b") * 17) % 100).cast("int")
-    arcs = pairs(spark, sf_dir, least).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("weight"))
+    arcs = pairs(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"), weight.alias("weight"))
     graph = Graph.from_edges(arcs, table(spark, sf_dir, "part").select("p_partkey"), weight="weight").symmetrize()
     return Graph(graph.vertices, cut(graph.edges))
 
 
 def transitions(spark: SparkSession, sf_dir: str) -> Graph:
-    """Distinct arcs from a user to the next user in the stream."""
-    hour = F.date_trunc("day", "ts")
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", hour.alias("day"))
-    nxt = F.lead("user_id").over(Window.partitionBy("day").orderBy("ts", "event_id"))
-    arcs = e.select(F.col("user_id").alias("src"), nxt.alias("dst")).where("dst is not null and src <> dst").distinct()
-    return Graph.from_edges(arcs)
+    """Distinct arcs from a user to the next user in the stream, which is ordered by time and number."""
+    found = followers(table(spark, sf_dir, "events"), "user_id", F.col("ts"), F.col("event_id"))
+    return Graph.from_edges(found.select(F.col("user_id").alias("src"), F.col("next").alias("dst")).where("src <> dst").distinct())
 
 
-def follows(spark: SparkSession, sf_dir: str) -> Graph:
-    """A sparse part of the transitions, by a formula of the ids."""
-    return Graph.from_edges(cut(transitions(spark, sf_dir).edges.where("(src * 7 + dst * 13) % 31 < 2")))
+def weighted_transitions(spark: SparkSession, sf_dir: str) -> Graph:
+    g = transitions(spark, sf_dir)
+    return Graph(g.vertices, cut(g.edges.withColumn("weight", (1 + F.pmod(F.col("src") * 3 + F.col("dst"), F.lit(5))).cast("int"))))
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, weight): supplier ids (from 1,000,000), customer ids, lines of quantity 49 or more."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select("l_orderkey", "l_suppkey")
+    """(src, dst, weight): supplier ids (from 1,000,000), customer ids, lines between them."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     both = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return both.groupBy((F.col("l_suppkey") + 1_000_000).alias("src"), F.col("o_custkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
@@ -70,15 +63,16 @@ def first_source(graph: Graph) -> DataFrame:
     return graph.edges.agg(F.min("src").alias("id"))
 
 
-PAIRS_SQL = f"""u AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey
-  WHERE x.l_quantity >= {LARGE} AND y.l_quantity >= {LARGE})"""
+PAIRS_SQL = """u AS (SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y
+  ON x.l_orderkey = y.l_orderkey AND x.l_discount = y.l_discount AND x.l_partkey < y.l_partkey)"""
 GRAPH_SQL = f"""{PAIRS_SQL},
 e AS (SELECT a AS src, b AS dst, (1 + (a * 31 + b * 17) % 100)::INT AS weight FROM u UNION ALL SELECT b, a, (1 + (a * 31 + b * 17) % 100)::INT FROM u),
 v AS (SELECT p_partkey AS id FROM part)"""
-TRANS_SQL = """t0 AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events),
+TRANS_SQL = """t0 AS (SELECT user_id AS src, lead(user_id) OVER (ORDER BY ts, event_id) AS dst FROM events),
 e AS (SELECT DISTINCT src, dst FROM t0 WHERE dst IS NOT NULL AND src <> dst),
 v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"""
-TRADE_SQL = """e AS (SELECT l_suppkey + 1000000 AS src, o_custkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49 GROUP BY 1, 2)"""
+WEIGHTED_SQL = TRANS_SQL.replace("e AS (SELECT DISTINCT src, dst FROM", "e AS (SELECT DISTINCT src, dst, (1 + (src * 3 + dst) % 5)::INT AS weight FROM")
+TRADE_SQL = """e AS (SELECT l_suppkey + 1000000 AS src, o_custkey AS dst, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)"""
 BFS_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
 r(id, level) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 24),
 best AS (SELECT id, min(level) AS level FROM r GROUP BY id)"""
@@ -88,6 +82,7 @@ r(id, dist) USING KEY (id) AS (
   UNION
   SELECT id, dist FROM (SELECT e.dst AS id, min(r.dist + e.weight) AS dist FROM r JOIN e ON e.src = r.id GROUP BY e.dst) c
   WHERE NOT EXISTS (SELECT 1 FROM recurring.r AS s WHERE s.id = c.id AND s.dist <= c.dist))"""
+WEIGHTED_SSSP_SQL = SSSP_SQL.replace(GRAPH_SQL, WEIGHTED_SQL)
 CC_SQL = f"""WITH RECURSIVE {GRAPH_SQL},
 r(id, component) USING KEY (id) AS (
   SELECT id, id AS component FROM v
@@ -109,6 +104,22 @@ def on_purchases(function: Callable[[Graph], DataFrame]) -> Callable[[SparkSessi
     return lambda spark, sf_dir: function(purchases(spark, sf_dir))
 
 
+def _drawn(graph: Graph, count: int) -> DataFrame:
+    """Distances from drawn sources, summed up: the sources, those with an arc out, those at distance 0, the vertices, and those with a wrong distance."""
+    sources = cut(traversal.random_sources(graph, count))
+    found = cut(traversal.sssp(graph, sources))
+    able = sources.join(graph.edges.select(F.col("src").alias("id")), "id", "left_semi")
+    zero = found.where("dist = 0").join(sources, "id", "left_semi")
+    figures = {"n_sources": sources, "n_able": able, "n_at_zero": zero, "n_vertices": found, "n_wrong": checks.check_sssp(graph, found, sources)}
+    return graph.vertices.sparkSession.createDataFrame([tuple(x.count() for x in figures.values())], ", ".join(f"{k} long" for k in figures))
+
+
+def _checked(check: Callable[[DataFrame], DataFrame], found: DataFrame, spoiled: DataFrame) -> DataFrame:
+    """One row: rows of a result, those a check finds wrong, and those it finds wrong in a spoiled copy."""
+    figures = {"n_rows": found, "n_wrong": check(found), "n_spoiled": check(spoiled)}
+    return found.sparkSession.createDataFrame([tuple(x.count() for x in figures.values())], ", ".join(f"{k} long" for k in figures))
+
+
 def with_graph(select: str) -> str:
     return f"WITH {GRAPH_SQL} {select}"
 
@@ -184,21 +195,18 @@ add("reach", on_purchases(lambda g: traversal.reach(g, first_source(g))), f"{BFS
 _SSSP = f"{SSSP_SQL} SELECT v.id, r.dist FROM v LEFT JOIN r ON r.id = v.id"
 add("sssp_chaotic", on_purchases(lambda g: traversal.sssp(g, first_source(g))), _SSSP)
 add("sssp_delta", on_purchases(lambda g: traversal.sssp_delta(g, first_source(g), 60)), _SSSP)
+add("sssp_delta_buckets", on_purchases(lambda g: traversal.sssp_buckets(g, first_source(g), 80)), _SSSP)
+_WEIGHTED = f"{WEIGHTED_SSSP_SQL} SELECT v.id, r.dist FROM v LEFT JOIN r ON r.id = v.id"
+add("sssp_dijkstra", lambda s, d: (g := weighted_transitions(s, d), traversal.sssp_dijkstra(g, first_source(g)))[1], _WEIGHTED)
+add("ord_vertex_delta", lambda s, d: (g := weighted_transitions(s, d), traversal.sssp(g, first_source(g), orderings.vertex_delta(500)))[1], _WEIGHTED)
 add("sssp_kla", on_purchases(lambda g: traversal.sssp_kla(g, first_source(g), 4)), _SSSP)
 add("sssp_eager", on_purchases(lambda g: traversal.sssp_eager(g, first_source(g), 80)), _SSSP)
 add("sssp_dc", on_purchases(lambda g: traversal.sssp(g, first_source(g), orderings.named("thread_chaotic"))), _SSSP)
 add("sssp_visited_edges", on_purchases(lambda g: summaries.visited_edges(g.edges, cut(traversal.sssp(g, first_source(g))), "dist")), f"{SSSP_SQL} SELECT count(*) AS n_edges FROM e JOIN r ON r.id = e.src")
-add("sssp_random_sources", on_purchases(lambda g: checks.check_sssp(g, traversal.sssp(g, cut(traversal.random_sources(g, 3))))), with_graph("SELECT src, dst FROM e WHERE false"))
+add("sssp_random_sources", on_purchases(lambda g: _drawn(g, 3)), with_graph("SELECT 3::BIGINT AS n_sources, 3::BIGINT AS n_able, 3::BIGINT AS n_at_zero, count(*) AS n_vertices, 0::BIGINT AS n_wrong FROM v"))
 add("bfs_visited_color", on_purchases(lambda g: traversal.bfs(g, first_source(g)).select("id", F.col("level").isNotNull().alias("visited"))), f"{BFS_SQL} SELECT v.id, best.id IS NOT NULL AS visited FROM v LEFT JOIN best ON best.id = v.id")
 add(
     "scc_of_source",
-    lambda s, d: (g := follows(s, d), traversal.two_way(g, first_source(g)))[1],
-    f"""WITH RECURSIVE {TRANS_SQL}, k AS (SELECT src, dst FROM e WHERE (src * 7 + dst * 13) % 31 < 2),
-f(id) AS (SELECT min(src) FROM k UNION SELECT k.dst FROM f JOIN k ON k.src = f.id), b(id) AS (SELECT min(src) FROM k UNION SELECT k.src FROM b JOIN k ON k.dst = b.id)
-SELECT f.id FROM f JOIN b ON b.id = f.id""",
-)
-add(
-    "scc_of_source_whole",
     lambda s, d: (g := Graph.from_edges(cut(transitions(s, d).edges)), traversal.two_way(g, first_source(g)))[1],
     f"""WITH RECURSIVE {TRANS_SQL},
 f(id) AS (SELECT min(src) FROM e UNION SELECT e.dst FROM f JOIN e ON e.src = f.id), b(id) AS (SELECT min(src) FROM e UNION SELECT e.src FROM b JOIN e ON e.dst = b.id)
@@ -243,10 +251,18 @@ def _decided(first: str, column: str, rule: str) -> str:
 _MIS = _decided("NULL::BOOLEAN", "in_mis", "CASE WHEN seen IS NULL THEN true WHEN list_contains(seen, true) THEN false WHEN list_count(seen) < len(seen) THEN NULL ELSE true END")
 add("mis_fix", on_purchases(independent.mis_fix), _MIS)
 add("mis_luby_av1", on_purchases(independent.mis_luby_ids), _MIS)
-add("mis_luby_av2", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_a(g, seed=2))), with_graph("SELECT id FROM v WHERE false"))
+_LUBY = with_graph("SELECT count(*) AS n_rows, 0::BIGINT AS n_wrong, count(*) AS n_spoiled FROM v")
+
+
+def _luby_checked(find: Callable[[Graph], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The set is checked against its definition; the spoiled copy leaves every vertex out, so each one is wrong."""
+    return on_purchases(lambda g: (m := cut(find(g)), _checked(lambda df: checks.check_mis(g, df), m, m.withColumn("in_mis", F.lit(False))))[1])
+
+
+add("mis_luby_av2", _luby_checked(lambda g: independent.mis_luby_a(g, seed=2)), _LUBY)
 add("gc_jp", on_purchases(independent.colouring), _decided("NULL::INT", "color", "CASE WHEN seen IS NULL THEN 0 WHEN list_count(seen) < len(seen) THEN NULL ELSE list_min(list_filter(range(0, len(seen) + 1), lambda c: NOT list_contains(seen, c::INT)))::INT END"))
-add("mis_luby_a", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_a(g))), with_graph("SELECT id FROM v WHERE false"))
-add("mis_luby_b", on_purchases(lambda g: checks.check_mis(g, independent.mis_luby_b(g))), with_graph("SELECT id FROM v WHERE false"))
+add("mis_luby_a", _luby_checked(independent.mis_luby_a), _LUBY)
+add("mis_luby_b", _luby_checked(independent.mis_luby_b), _LUBY)
 
 
 def _core_sql() -> str:
@@ -286,15 +302,54 @@ add("red_duplicate_removal", lambda s, d: table(s, d, "lineitem").select(F.col("
 add("red_combination", on_purchases(lambda g: ranks.combine(g.edges, g.vertices.select("id", F.col("id").alias("value")), F.min, F.max, F.sum)),
     with_graph("SELECT dst AS id, min(src)::BIGINT AS min, max(src)::BIGINT AS max, sum(src)::BIGINT AS sum FROM e GROUP BY dst"))
 
-# -- checks of results: no rows ---------------------------------------------------
-_NO_ARC, _NO_ID = with_graph("SELECT src, dst FROM e WHERE false"), with_graph("SELECT id FROM v WHERE false")
-add("vf_bfs", on_purchases(lambda g: checks.check_bfs(g, traversal.bfs(g, first_source(g)))), _NO_ARC)
-add("vf_sssp", on_purchases(lambda g: checks.check_sssp(g, traversal.sssp(g, first_source(g)))), _NO_ARC)
-add("vf_cc", on_purchases(lambda g: checks.check_cc(g, components.cc(g))), _NO_ARC)
-add("vf_mis", on_purchases(lambda g: checks.check_mis(g, independent.mis_fix(g))), _NO_ID)
-add("vf_gc", on_purchases(lambda g: checks.check_colouring(g, independent.colouring(g))), _NO_ID)
-add("vf_kcore", on_purchases(lambda g: checks.check_kcore(g, cores.kcore(g))), _NO_ID)
-add("vf_tc", on_purchases(lambda g: checks.check_triangles(g, triangles.enumerate_triangles(g))), f"WITH {PAIRS_SQL} SELECT a, b, a AS c FROM u WHERE false")
+# -- checks of results: of a right one and of a spoiled copy, whose faults SQL counts by their own definition ----------
+
+
+def _spoil(column: str, by: str) -> Callable[[DataFrame], DataFrame]:
+    """Another value at every seventh vertex, and every eleventh left out."""
+    return lambda df: df.where("id % 11 <> 5").withColumn(column, F.when(F.col("id") % 7 == 3, F.expr(by)).otherwise(F.col(column)))
+
+
+def _vf(find: Callable[[Graph], DataFrame], check: Callable[[Graph, DataFrame], DataFrame], spoil: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(graph: Graph) -> DataFrame:
+        found = cut(find(graph))
+        return _checked(lambda df: check(graph, df), found, cut(spoil(found)))
+
+    return on_purchases(run)
+
+
+def _vf_sql(head: str, result: str, column: str, by: str, wrong: str) -> str:
+    """`wrong` selects from s(id, x), the spoiled result, and v; result gives r0(id, x)."""
+    spoiled = f"s AS MATERIALIZED (SELECT id, CASE WHEN id % 7 = 3 THEN {by} ELSE {column} END AS x FROM r0 WHERE id % 11 <> 5)"
+    return f"{head}, r0 AS MATERIALIZED ({result}), {spoiled} SELECT (SELECT count(*) FROM r0) AS n_rows, 0::BIGINT AS n_wrong, (SELECT count(*) FROM ({wrong})) AS n_spoiled"
+
+
+def _least_sql(step: str) -> str:
+    return f"""SELECT v.id FROM v LEFT JOIN s ON s.id = v.id LEFT JOIN (SELECT e.dst, min(s.x + {step}) AS best FROM e JOIN s ON s.id = e.src GROUP BY e.dst) b ON b.dst = v.id
+WHERE s.id IS NULL OR s.x IS DISTINCT FROM CASE WHEN v.id = (SELECT min(src) FROM e) THEN 0 ELSE best END"""
+
+
+_NEAR = "JOIN s p ON p.id = e.src JOIN s q ON q.id = e.dst WHERE e.src <> e.dst"
+add("vf_bfs", _vf(lambda g: traversal.bfs(g, first_source(g)), lambda g, df: checks.check_bfs(g, df, first_source(g)), _spoil("level", "level + 1")),
+    _vf_sql(BFS_SQL, "SELECT v.id, best.level FROM v LEFT JOIN best ON best.id = v.id", "level", "level + 1", _least_sql("1")))
+add("vf_sssp", _vf(lambda g: traversal.sssp(g, first_source(g)), lambda g, df: checks.check_sssp(g, df, first_source(g)), _spoil("dist", "dist - 1")),
+    _vf_sql(SSSP_SQL, "SELECT v.id, r.dist FROM v LEFT JOIN r ON r.id = v.id", "dist", "dist - 1", _least_sql("e.weight")))
+add("vf_cc", _vf(components.cc_flood, checks.check_cc, _spoil("component", "id")),
+    _vf_sql(CC_SQL, "SELECT id, component FROM r", "component", "id", "SELECT r0.id FROM r0 LEFT JOIN s ON s.id = r0.id WHERE s.x IS DISTINCT FROM r0.component"))
+add("vf_mis", _vf(independent.mis_fix, checks.check_mis, _spoil("in_mis", "not in_mis")),
+    _vf_sql(_MIS.rsplit(" SELECT ", 1)[0], "SELECT id, in_mis FROM s39", "in_mis", "NOT in_mis", f"""SELECT e.src AS id FROM e {_NEAR} AND p.x AND q.x
+UNION SELECT id FROM s WHERE NOT x AND id NOT IN (SELECT e.src FROM e JOIN s q ON q.id = e.dst WHERE e.src <> e.dst AND q.x) UNION SELECT id FROM v WHERE id NOT IN (SELECT id FROM s)"""))
+add("vf_gc", _vf(independent.colouring, checks.check_colouring, _spoil("color", "color + 1")),
+    _vf_sql(ORACLE_SQL["gc_jp"].rsplit(" SELECT ", 1)[0], "SELECT id, color FROM s39", "color", "color + 1", """SELECT v.id FROM v LEFT JOIN s ON s.id = v.id
+LEFT JOIN (SELECT l.b AS id, list(q.x) AS seen FROM u l JOIN s q ON q.id = l.a GROUP BY l.b) m ON m.id = v.id
+WHERE s.id IS NULL OR s.x <> coalesce(list_min(list_filter(range(0, len(seen) + 1), lambda c: NOT list_contains(seen, c::INT))), 0)"""))
+add("vf_tc", on_purchases(lambda g: (t := cut(triangles.enumerate_triangles(g)), _checked(lambda df: checks.check_triangles(g, df), t, t.where("a % 7 <> 3").union(t.where("a % 7 = 4")).union(t.where("a % 7 = 5").select("a", "b", F.col("b").alias("c")))))[1]),
+    f"WITH {PAIRS_SQL}, t AS (SELECT x.a AS a, x.b AS b, y.b AS c FROM u x JOIN u y ON x.b = y.a JOIN u z ON z.a = x.a AND z.b = y.b) SELECT count(*) AS n_rows, 0::BIGINT AS n_wrong, count(*) FILTER (a % 7 IN (3, 4)) + (SELECT count(*) FROM (SELECT DISTINCT a, b FROM t WHERE a % 7 = 5)) AS n_spoiled FROM t")
+add("vf_pr", on_purchases(lambda g: (r := cut(ranks.pagerank(g, 60)), _checked(lambda df: checks.check_pagerank(g, df, 1e-3), r, r.where("id % 11 <> 5").select("id", (F.col("rank") + F.when(F.col("id") % 7 == 3, 1000.0).otherwise(0.0)).alias("rank"))))[1]),
+    f"""WITH {GRAPH_SQL}, {_rank_sql(60)}, s AS MATERIALIZED (SELECT id, rank + CASE WHEN id % 7 = 3 THEN 1000.0::DOUBLE ELSE 0 END AS x FROM r60 WHERE id % 11 <> 5)
+SELECT (SELECT count(*) FROM r60) AS n_rows, 0::BIGINT AS n_wrong, (SELECT count(*) FROM v LEFT JOIN s ON s.id = v.id LEFT JOIN (SELECT e.dst, sum(s.x / o.n) AS g FROM e JOIN o ON o.src = e.src JOIN s ON s.id = e.src GROUP BY e.dst) h ON h.dst = v.id
+WHERE s.id IS NULL OR abs(s.x - (0.15::DOUBLE + 0.85::DOUBLE * coalesce(g, 0))) > 1e-3) AS n_spoiled""")
+add("vf_kcore", _vf(cores.kcore, checks.check_kcore, lambda df: df.withColumn("core", F.lit(0).cast("bigint"))), with_graph("SELECT (SELECT count(*) FROM v) AS n_rows, 0::BIGINT AS n_wrong, (SELECT count(DISTINCT src) FROM e) AS n_spoiled"))
 
 # -- functions and summaries ------------------------------------------------------
 add("fn_pack32", lambda s, d: trade(s, d).select("src", "dst", bits.high32(bits.pack32(F.col("src"), F.col("dst"))).alias("high"), bits.low32(bits.pack32(F.col("src"), F.col("dst"))).alias("low")),
@@ -415,11 +470,26 @@ add("snk_graphviz", on_purchases(lambda g: writers.graphviz_lines(g).select("lin
     with_graph("""SELECT 'digraph G {' AS line UNION ALL SELECT '}' UNION ALL SELECT id::VARCHAR || ';' FROM v UNION ALL SELECT src || ' -> ' || dst || ' [label="' || weight || '"];' FROM e"""))
 add("gen_mesh", lambda s, d: generators.mesh(s, 40, 30).edges, """WITH c AS (SELECT i, j FROM range(40) a(i), range(30) b(j)), n AS (SELECT i, j, i + x AS k, j + y AS l FROM c, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) m(x, y))
 SELECT j * 40 + i AS src, l * 40 + k AS dst FROM n WHERE k BETWEEN 0 AND 39 AND l BETWEEN 0 AND 29""")
-add("gen_kronecker", lambda s, d: generators.kronecker(s, 10))
-add("gen_rmat1", lambda s, d: generators.rmat(s, 10, abc=generators.RMAT1))
-add("gen_rmat2", lambda s, d: generators.rmat(s, 10, abc=generators.RMAT2))
-add("gen_rmat_rec", lambda s, d: generators.rmat_lower(s, 10))
-add("gen_rmat_unique", lambda s, d: generators.rmat_unique(s, 10, 4000))
-add("gen_er", lambda s, d: generators.erdos_renyi(s, 1000, 0.01).edges)
-add("gen_small_world", lambda s, d: generators.small_world(s, 1000, 4, 0.05).edges)
+
+
+def _profile(edges: DataFrame, size: int) -> DataFrame:
+    """One row about generated arcs that their definition fixes: number, ends out of range, self-loops, repeats."""
+    once = edges.select("src", "dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("src") < 0) | (F.col("dst") < 0) | (F.col("src") >= size) | (F.col("dst") >= size)).alias("out"))
+    return once.agg(F.sum("n").alias("n_arcs"), F.sum("out").alias("n_outside"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("n")).otherwise(0)).alias("n_loops"), F.sum(F.col("n") - 1).alias("n_repeats"))
+
+
+def _add_generator(name: str, make: Callable[[SparkSession], DataFrame], size: int, fixed: dict[str, int]) -> None:
+    """The arcs, and under name_profile those of their figures that are fixed, with SQL."""
+    add(name, lambda s, d: make(s))
+    add(f"{name}_profile", lambda s, d: _profile(make(s), size).select(*[F.col(k).cast("bigint").alias(k) for k in fixed]), "SELECT " + ", ".join(f"{v}::BIGINT AS {k}" for k, v in fixed.items()))
+
+
+_add_generator("gen_kronecker", lambda s: generators.kronecker(s, 10), 1024, {"n_arcs": 16384, "n_outside": 0})
+_add_generator("gen_rmat1", lambda s: generators.rmat(s, 10, abc=generators.RMAT1), 1024, {"n_arcs": 16384, "n_outside": 0})
+_add_generator("gen_rmat2", lambda s: generators.rmat(s, 10, abc=generators.RMAT2), 1024, {"n_arcs": 16384, "n_outside": 0})
+_add_generator("gen_rmat_rec", lambda s: generators.rmat_lower(s, 10), 1024, {"n_outside": 0, "n_loops": 0})
+_add_generator("gen_rmat_unique", lambda s: generators.rmat_unique(s, 10, 4000), 1024, {"n_arcs": 4000, "n_outside": 0, "n_repeats": 0})
+_add_generator("gen_er", lambda s: generators.erdos_renyi(s, 1000, 0.01).edges, 1000, {"n_outside": 0, "n_loops": 0, "n_repeats": 0})
+_add_generator("gen_small_world", lambda s: generators.small_world(s, 1000, 4, 0.05).edges, 1000, {"n_arcs": 4000, "n_outside": 0})
 add("gen_weights", on_purchases(lambda g: readers.with_weights(g.edges.drop("weight"))))
+add("gen_weights_profile", on_purchases(lambda g: readers.with_weights(g.edges.drop("weight")).agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("lo"), F.count_if(F.col("weight") > 255).alias("over"))), with_graph("SELECT count(*) AS n, 1 AS lo, 0::BIGINT AS over FROM e"))

@@ -44,10 +44,39 @@ def test_shortest_paths_of_the_samples(spark):
     assert values(traversal.sssp_eager(g, source(spark), 1), "dist") == want
     assert values(traversal.bfs(g, source(spark)), "level") == {0: 0, 2: 1, 1: 2, 3: 2, 4: 3}
     assert values(traversal.sssp_delta(graph(spark, H2, 5), source(spark)), "dist") == {0: 0, 1: 8, 2: 5, 3: 9, 4: 7}
-    assert not checks.check_sssp(g, traversal.sssp(g, source(spark))).collect()
+    assert not checks.check_sssp(g, traversal.sssp(g, source(spark)), source(spark)).collect()
     assert traversal.auto_delta(g) == 2
 
 
+def test_heavy_arcs_go_once(spark):
+    rng = random.Random(3)
+    arcs = [(rng.randrange(40), rng.randrange(40), rng.choice([1, 2, 3, 30, 45])) for _ in range(110)]
+    g = graph(spark, arcs, 40)
+    want = values(traversal.sssp(g, source(spark)), "dist")
+    for width in (2, 10, 50):
+        assert values(traversal.sssp_delta(g, source(spark), width), "dist") == want
+
+
+def test_rounds_write_the_frontier_only(spark, monkeypatch):
+    """On a long path every round has one pending vertex; the values are read, not rewritten."""
+    from grafonda.plans import deltas, fixpoint
+
+    n, written = 12, []
+    g = graph(spark, [(i, i + 1) for i in range(n - 1)], n)
+    monkeypatch.setattr(fixpoint, "_fits_broadcast", lambda _: False)
+
+    def counted(df, *columns):
+        out = keep(df, *columns)
+        written.append(out.count())
+        return out
+
+    keep = fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", counted)
+    monkeypatch.setattr(deltas.Falling, "MOST", 3)
+    assert values(traversal.bfs(g, source(spark)), "level") == {i: i for i in range(n)}
+    assert written[0] == n - 1 and max(written[1:]) == 1
+
+
 def test_random_graph_against_dijkstra(spark):
     rng = random.Random(1)
     arcs = [(rng.randrange(60), rng.randrange(60), rng.randint(0, 20)) for _ in range(150)]
@@ -107,13 +136,38 @@ def test_long_path_has_one_component(spark):
 
 
 def test_checks_find_faults(h3, spark):
-    wrong = spark.createDataFrame([(0, 0), (1, 5), (2, 1), (3, 2), (4, None)], "id long, level int")
-    assert checks.check_bfs(h3, wrong).count() > 0
-    assert checks.check_mis(h3, h3.vertices.withColumn("in_mis", F.lit(True))).count() == 4
-    assert checks.check_colouring(h3, h3.vertices.withColumn("color", F.lit(0))).count() == 4
-    # vertex 2 does have three such neighbours
-    assert checks.check_kcore(h3, h3.vertices.withColumn("core", F.lit(3))).count() == 4
-    assert checks.check_cc(h3, h3.vertices.withColumn("component", F.col("id"))).count() == 8
+    def ids(df):
+        return sorted(r["id"] for r in df.collect())
+
+    def frame(column, kind, values):
+        return spark.createDataFrame(list(enumerate(values)), f"id long, {column} {kind}")
+
+    one, s = source(spark), h3.vertices
+    assert not ids(checks.check_bfs(h3, frame("level", "int", [0, 1, 1, 2, None]), one))
+    assert ids(checks.check_bfs(h3, frame("level", "int", [None] * 5), one)) == [0]
+    assert ids(checks.check_bfs(h3, frame("level", "int", [0] * 5), one)) == [1, 2, 3, 4]
+    assert ids(checks.check_bfs(h3, frame("level", "int", [0, 1, 1]), one)) == [3, 4]  # missing
+    assert ids(checks.check_sssp(h3, frame("dist", "long", [0, 1, 1, 3, None]), one)) == [3]
+    assert ids(checks.check_sssp(h3, frame("dist", "long", [0, 1, 1, 1, None]), one)) == [3]
+    assert ids(checks.check_cc(h3, frame("component", "long", [0] * 5))) == [4]
+    assert ids(checks.check_cc(h3, frame("component", "long", range(5)))) == [1, 2, 3]
+    assert not ids(checks.check_cc(h3, components.cc_flood(h3)))
+    assert ids(checks.check_mis(h3, s.withColumn("in_mis", F.lit(True)))) == [0, 1, 2, 3]
+    assert ids(checks.check_mis(h3, s.withColumn("in_mis", F.lit(False)))) == [0, 1, 2, 3, 4]
+    assert ids(checks.check_mis(h3, frame("in_mis", "boolean", [True, False, False]))) == [3, 4]
+    assert ids(checks.check_colouring(h3, s.withColumn("color", F.lit(0)))) == [1, 2, 3]
+    assert ids(checks.check_colouring(h3, frame("color", "int", [0, 1, 2, 1, 0]))) == [3]
+    assert not ids(checks.check_kcore(h3, frame("core", "long", [2, 2, 2, 1, 0])))
+    assert ids(checks.check_kcore(h3, frame("core", "long", [3] * 5))) == [0, 1, 2, 3, 4]
+    assert ids(checks.check_kcore(h3, frame("core", "long", [0] * 5))) == [0, 1, 2, 3]
+    assert ids(checks.check_kcore(h3, frame("core", "long", [0, 1, 1, 1, 0]))) == [0]
+    assert ids(checks.check_kcore(h3, frame("core", "long", [2, 2, 2, 1]))) == []  # the left-out one is not claimed
+    found = [(0, 1, 2), (0, 1, 2), (1, 2, 3)]
+    assert sorted(map(tuple, checks.check_triangles(h3, spark.createDataFrame(found, "a long, b long, c long")).collect())) == [(0, 1, 2), (1, 2, 3)]
+    assert checks.check_triangles(h3, spark.createDataFrame([], "a long, b long, c long")).count() == 1
+    ranked = ranks.pagerank(h3, 80)
+    assert not ids(checks.check_pagerank(h3, ranked, 1e-3))
+    assert 2 in ids(checks.check_pagerank(h3, ranked.where("id <> 2"), 1e-3))
 
 
 def test_algebra(h3, spark):

@@ -28,6 +28,12 @@ def test_matrix_market_and_snap(spark, tmp_path):
     assert readers.matrix_market_header(spark, str(m)) == (4, 3)
     assert rows(readers.matrix_market(spark, str(m))) == [(0, 1), (0, 1), (1, 1)]
     assert rows(readers.matrix_market(spark, str(m), preprocess=True)) == [(0, 1)]
+    m.write_text("%%MatrixMarket\n3 3 3\n1 2 5\n3 3 3\n% c\n2 1 4\n")  # an entry that reads like the header
+    assert rows(readers.matrix_market(spark, str(m))) == [(0, 1), (1, 0), (2, 2)]
+    (tmp_path / "parts").mkdir()
+    for name, text in (("a", "2 2 1\n1 2\n"), ("b", "% x\n2 2 1\n2 2\n")):
+        (tmp_path / "parts" / name).write_text(text)
+    assert rows(readers.matrix_market(spark, str(tmp_path / "parts"))) == [(0, 1), (1, 1)]
     s = tmp_path / "s.txt"
     s.write_text("# Nodes: 3 Edges: 2\n# x\n0 1 5\n1 2 7\n")
     assert readers.snap_header(spark, str(s)) == (3, 2)
@@ -43,6 +49,11 @@ def test_dimacs_and_metis(spark, tmp_path):
     m.write_text("5 9 1\n3 1\n2 2 4 1 5 2\n2 7 4 3\n5 1\n1 1 2 1\n")
     want = [(0, 2, 1), (1, 1, 2), (1, 3, 1), (1, 4, 2), (2, 1, 7), (2, 3, 3), (3, 4, 1), (4, 0, 1), (4, 1, 1)]
     assert rows(readers.metis(spark, str(m)).edges) == want
+    lines = m.read_text().splitlines(keepends=True)
+    (tmp_path / "cut").mkdir()
+    for name, part in (("1", lines[:1] * 1 + lines[1:2]), ("2", lines[2:3]), ("0", ["% first\n"]), ("3", ["% " + "long " * 500 + "\n", *lines[3:]])):
+        (tmp_path / "cut" / name).write_text("".join(part))
+    assert rows(readers.metis(spark, str(tmp_path / "cut")).edges) == want  # by name, though the longest is scanned first
 
 
 def test_writers(spark, tmp_path):
