@@ -38,6 +38,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex hangs on one smaller vertex at most, and none that others hang on hangs itself."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+    seen = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return seen.where("ups > 1 or (ups = 1 and least = 0)").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(id, component) for every vertex of an edge table; component is the smallest id reachable.
 
@@ -47,18 +54,13 @@ def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     work = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     loops, pairs = work.where("u = v").select("u"), work.where("u <> v")
-    current, before = pairs, None
+    current = pairs
     for _ in range(max_rounds):
-        if before is None and not current.take(1):
+        if _are_stars(current):
             break
         after = cut(_small_star(_large_star(current)))
-        mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if current is not pairs:
-            drop(current)
+        drop(current)  # the first is a view of `work` and stays
         current = after
-        if before == mark:
-            break
-        before = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     low = current.select(F.col("u").alias("id"), F.col("v").alias("component"))
