@@ -356,7 +356,7 @@ def near_duplicate_classes(
     crossing = cut(_cross_group(_cells(open_rows), post, size))
     spent = [shared, near, groups, crossing]
     if crossing.take(1):
-        groups = star_components(near.select("a", "b").union(crossing), "a", "b")
+        groups = star_components(groups.toDF("a", "b").union(crossing), "a", "b")
         spent.append(groups)
 
     # each member against its likeliest partner, then what that leaves apart inside a loose group
@@ -382,7 +382,7 @@ def near_duplicate_classes(
     held = known.join(several.select("id"), "id").where("n > 0").select(F.col("id").alias("doc"), *digest).distinct()
     held = held.join(classes.select(*digest, "id"), digest).select("doc", "id")
     bridges = meet(held, "doc", held.groupBy("doc").agg(F.min("id").alias("first"))).select("first", "id")
-    linked = star_components(links.union(rest).union(bridges), "a", "b")
+    linked = star_components(joined.toDF("a", "b").union(rest).union(bridges), "a", "b")
 
     by_class = classes.select(*digest, "id", "low").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lows = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
