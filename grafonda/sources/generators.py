@@ -12,20 +12,24 @@ from grafonda.operators.graph import Graph
 RMAT1, RMAT2 = (5700, 1900, 1900), (5000, 1000, 1000)
 
 
-def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, *, abc: tuple[int, int, int] = RMAT1, seed: int = 12345, noise: float = 0.0, mix_ids: bool = True) -> DataFrame:
-    """(src, dst) of edge_factor * 2^scale arcs: each picks a quadrant `scale` times; noise varies the probabilities by level."""
+def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, *, abc: tuple[int, int, int] = RMAT1, seed: int = 12345, noise: float = 0.0, mix_ids: bool = True, flip: bool = False) -> DataFrame:
+    """(src, dst) of edge_factor * 2^scale arcs: each picks a quadrant `scale` times; noise varies the probabilities by level.
+
+    With `flip`, an arc whose ends are still equal takes the lower left quadrant for the
+    upper right one, so that no arc lies above the diagonal before ids are mixed.
+    """
     edges = spark.range(edge_factor << scale)
     src, dst = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
     for level in range(scale):
-        share = [x / 10_000 for x in abc]
-        if noise:
-            wobble = 1 + noise * (2 * uniform(seed + 1, F.lit(level), "id") - 1)
-            a = F.least(F.lit(share[0]) * wobble, F.lit(0.97))
-        else:
-            a = F.lit(share[0])
-        b, c = F.lit(share[1]), F.lit(share[2])
+        share = [x / 10_000 for x in (*abc, 10_000 - sum(abc))]
+        a, b, c = (F.lit(x) for x in share[:3])
+        if noise:  # all four shares vary, and are scaled to add up to 1 again
+            raw = [x * (1 + noise * (2 * uniform(seed + 1 + k, F.lit(level), "id") - 1)) for k, x in enumerate(share)]
+            a, b, c = (x / (raw[0] + raw[1] + raw[2] + raw[3]) for x in raw[:3])
         roll = uniform(seed, "id", F.lit(level))
         low, right = roll >= a + b, ((roll >= a) & (roll < a + b)) | (roll >= a + b + c)
+        if flip:  # in the upper right quadrant while the ends are equal: its mirror image
+            low, right = low | (right & (src == dst)), right & (low | (src != dst))
         src, dst = src * 2 + low.cast("bigint"), dst * 2 + right.cast("bigint")
     out = edges.select(src.alias("src"), dst.alias("dst"))
     if mix_ids:
@@ -34,9 +38,8 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, *, abc: tuple[i
 
 
 def kronecker(spark: SparkSession, scale: int, edge_factor: int = 16, *, seed: int = 12345) -> DataFrame:
-    """R-MAT with clip and flip: the larger end first, so the arcs read as undirected."""
-    arcs = rmat(spark, scale, edge_factor, seed=seed)
-    return arcs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+    """R-MAT with clip and flip at every level, before ids are mixed, so the arcs read as undirected."""
+    return rmat(spark, scale, edge_factor, seed=seed, flip=True)
 
 
 def rmat_lower(spark: SparkSession, scale: int, edge_factor: int = 16, *, seed: int = 12345) -> DataFrame:
@@ -62,13 +65,17 @@ def erdos_renyi(spark: SparkSession, n: int, p: float, *, seed: int = 1, loops:
 
     if not 0 < p < 1:
         raise ValueError("p must lie between 0 and 1")
-    stride = max(1, round(64 / p))  # pairs per row: 64 arcs on average
-    rows = spark.range(-(-n * n // stride))
-    draws = F.sequence(F.lit(1), F.lit(64 + 8 * 12))
-    gaps = F.transform(draws, lambda i: (F.floor(F.log(1 - uniform(seed, "id", i)) / math.log1p(-p)) + 1).cast("bigint"))
-    sums = F.aggregate(gaps, F.array(F.lit(-1).cast("bigint")), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g)))
-    offsets = F.filter(F.slice(sums, 2, 1000), lambda x: x < stride)
-    drawn = rows.select("id", F.explode(offsets).alias("offset"))
+    stride, draws = max(1, round(64 / p)), 160  # pairs per row: 64 arcs on average; rows with more than the draws go on
+    todo = spark.range(-(-n * n // stride)).select("id", F.lit(-1).cast("bigint").alias("at"))
+    drawn, done = None, 0
+    while drawn is None or todo.take(1):
+        gaps = F.transform(F.sequence(F.lit(done + 1), F.lit(done + draws)), lambda i: (F.floor(F.log(1 - uniform(seed, "id", i)) / math.log1p(-p)) + 1).cast("bigint"))
+        sums = F.aggregate(gaps, F.array("at"), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + g)))
+        placed = todo.select("id", F.slice(sums, 2, draws).alias("sums"))
+        found = placed.select("id", F.explode(F.filter("sums", lambda x: x < stride)).alias("offset"))
+        drawn = found if drawn is None else drawn.union(found)
+        todo = placed.where(F.element_at("sums", -1) < stride).select("id", F.element_at("sums", -1).alias("at"))
+        done += draws
     pair = drawn.select((F.col("offset") + F.col("id") * stride).alias("pair")).where(F.col("pair") < n * n)
     edges = pair.select(F.floor(F.col("pair") / n).alias("src"), (F.col("pair") % n).alias("dst"))
     return Graph(spark.range(n), edges if loops else edges.where("src <> dst"))
