@@ -15,7 +15,9 @@ literals of the plan, and the table that is broadcast is as long as that list.
 
 Nulls and edges: null, empty and shorter texts have no shingles and no rows in the
 result; a document is named once for each template, however often it holds it; rows
-that share an id and a text are one document.
+that share an id and a text are one document.  Texts of any length are covered by
+windows from end to end; an empty table gives an empty result; columns other than the
+named ones are not read, whatever their names.
 """
 
 from __future__ import annotations

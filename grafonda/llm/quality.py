@@ -10,7 +10,9 @@ sort (hash, position) pairs and add up what the repeated windows cover.
 
 Nulls and edges: a null or blank text has no words, every count is 0 and it fails the
 base rule (fewer than 10 words).  Ratios of texts without words or lines are 0.
-Repeated rows give repeated results; other columns are passed over.
+Repeated rows give repeated results; a null id stays null; columns other than the named
+ones are not read, whatever their names.  Texts of any length are measured whole; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -146,7 +148,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: documents that the rules reject go."""
+    """Pipeline: documents that the rules reject go.
+
+    Null, empty and very short texts are rejected; long texts are measured whole; all
+    columns of the rows that stay pass through unchanged, whatever their names; repeated
+    rows stay or go together; an empty table stays empty.
+    """
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
     m = measures(rows, "text")
     base = (F.col("q_n") < LEAST_WORDS) | (100 * F.col("q_repeat") > REPEAT_PCT * F.col("q_n"))

@@ -10,7 +10,10 @@ surroundings and the dictionary do not explain; words and paths cost little, ran
 keys cost nearly their entropy, which the size of their alphabet gives.
 
 Spans are in code points, ends exclusive.  Nulls and edges: a null text is empty and
-has no spans; each row is scanned on its own, so ties and repeats do not matter.
+has no spans; each row is scanned on its own, so ties and repeats do not matter; spans
+that begin at one place stand in the order of KINDS; texts of any length are scanned
+whole; an empty table gives an empty result; columns other than the named ones are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -174,7 +177,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: secrets are replaced by a mark, n_chars follows; every document stays."""
+    """Pipeline: secrets are replaced by a mark, n_chars follows; every document stays.
+
+    Null texts stay null (their n_chars becomes null); repeated rows stay repeated;
+    other columns pass through; an empty table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = Novelty()

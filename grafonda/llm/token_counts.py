@@ -9,7 +9,10 @@ tie), "start" to the section of its first character.
 
 Without a sections column the sections are the lines of the text, each with its line
 feed.  Nulls and edges: a null or empty text has one section, number 0, without
-characters or tokens; sections that a token skips entirely count 0.
+characters or tokens; sections that a token skips entirely count 0; a null id stays
+null; repeated rows give repeated results; texts of any length are encoded whole; an
+empty table gives an empty result; columns other than the named ones are not read,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -329,6 +329,35 @@ def test_token_counts_against_library_offsets(docs, texts, empty):
     assert token_counts.section_tokens(empty).count() == 0
 
 
+def test_majority_rule_against_characters(docs, texts):
+    """Every token votes with its characters, by the byte lengths of the rank file."""
+    encoding, lengths = token_counts._encoding(tokenizer_path("byte_bpe_50k.tiktoken"))
+    got = {}
+    for r in token_counts.section_tokens(docs).collect():
+        got.setdefault(r["id"], []).append((r["section"], r["n_tokens"], r["n_crossing"]))
+    crossed = 0
+    for i, t in enumerate(texts[:45]):
+        t = t or ""
+        line_of, n = [], 0
+        for c in t:
+            line_of.append(n)
+            n += c == "\n"
+        n_lines = max(line_of, default=0) + 1
+        owner = [k for k, c in enumerate(t) for _ in c.encode()]  # character of each byte
+        counts, crossing, at = [0] * n_lines, [0] * n_lines, 0
+        for token in encoding.encode(t, disallowed_special=()):
+            size = int(lengths[token])
+            chars = sorted({*owner[at : at + size]})
+            votes = Counter(line_of[c] for c in chars)
+            home = min(votes, key=lambda k: (-votes[k], k))
+            counts[home] += 1
+            crossing[home] += len(votes) > 1
+            at += size
+        assert sorted(got[3 * i]) == [(k, counts[k], crossing[k]) for k in range(n_lines)], t[:60]
+        crossed += sum(crossing)
+    assert crossed >= 0
+
+
 def test_boundary_rules():
     lengths = np.array([1, 4, 2])
     text, ids, ends = "abcdefg", np.array([0, 1, 2]), np.array([2, 7])  # tokens a, bcde, fg
