@@ -19,7 +19,7 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, *, abc: tuple[i
     upper right one, so that no arc lies above the diagonal before ids are mixed.
     """
     edges = spark.range(edge_factor << scale)
-    src, dst = F.lit(0).cast("bigint"), F.lit(0).cast("bigint")
+    src, dst, equal = F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), F.lit(True)  # equal: whether the ends so far are
     for level in range(scale):
         share = [x / 10_000 for x in (*abc, 10_000 - sum(abc))]
         a, b, c = (F.lit(x) for x in share[:3])
@@ -29,7 +29,8 @@ def rmat(spark: SparkSession, scale: int, edge_factor: int = 16, *, abc: tuple[i
         roll = uniform(seed, "id", F.lit(level))
         low, right = roll >= a + b, ((roll >= a) & (roll < a + b)) | (roll >= a + b + c)
         if flip:  # in the upper right quadrant while the ends are equal: its mirror image
-            low, right = low | (right & (src == dst)), right & (low | (src != dst))
+            above, diagonal = equal & right & ~low, low == right
+            low, right, equal = low | above, right & ~above, equal & diagonal
         src, dst = src * 2 + low.cast("bigint"), dst * 2 + right.cast("bigint")
     out = edges.select(src.alias("src"), dst.alias("dst"))
     if mix_ids:
