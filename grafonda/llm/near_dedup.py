@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from grafonda.plans.skew import meet
 from grafonda.plans.scratch import cut, drop
 
 #: Most members, and most shingles, that one block of a group holds; two blocks meet in one cell, the most that a task holds at a time.
-BLOCK, CELL = 1024, 1 << 19
+BLOCK, CELL = 1024, 1 << 18
 #: What a set counts in CELL besides its shingles.
 SET_WEIGHT = 256
 
@@ -141,7 +142,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, post: Posterior, size: int) ->
     return in_arrow(both.select("a", "b", "sa", "sb"), run, "a long, b long, equal int")
 
 
-def in_cells(rows: DataFrame, group: str, label: str, weight: Column, most: int) -> DataFrame:
+def in_cells(rows: DataFrame, group: str, label: str, weight: Column, most: int) -> DataFrame | None:
     """Send the rows of a group to cells in which each pair of different labels meets, one of them a visitor.
 
     The visitors are the rows that do not carry the group's weightiest label; a pair
@@ -149,13 +150,17 @@ def in_cells(rows: DataFrame, group: str, label: str, weight: Column, most: int)
     (all rows) and visitors are dealt to blocks of about `most` weight; cell (i, j)
     holds block i of the residents and block j of the visitors.  A group of one label
     has no cells; one with few visitors has about one copy of each row.  Adds `cell`
-    and `visitor`.
+    and `visitor`; None if all groups are of one label.
     """
     weighed = rows.withColumn("w", weight)
     by_label = weighed.groupBy(group, label).agg(F.sum("w").alias("w"))
     tops = by_label.groupBy(group).agg(F.sum("w").alias("all_w"), F.max(F.struct("w", label)).alias("top"), F.count(F.lit(1)).alias("labels"))
     blocks = [F.ceil(w / F.lit(most)).cast("int").alias(name) for w, name in ((F.col("all_w"), "homes"), (F.col("all_w") - F.col("top.w"), "guests"))]
-    placed = meet(weighed.drop("w"), group, tops.where("labels > 1").select(group, F.col(f"top.{label}").alias("top"), *blocks))
+    mixed = cut(tops.where("labels > 1").select(group, F.col(f"top.{label}").alias("top"), *blocks))
+    if not mixed.take(1):
+        drop(mixed)
+        return None
+    placed = rows.join(mixed, group)  # a written table: the join has shuffles of its own, or none
     home, guest = F.pmod(F.xxhash64("id", F.lit(1)), F.col("homes")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("guests"))
 
     def spot(i: Column, j: Column, visitor: bool) -> Column:
@@ -352,22 +357,24 @@ def near_duplicate_classes(
 
     # a band of two or three members had every pair tested against its hubs
     placed = shared.where("members > 3").select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("loose"))
-    open_rows = in_cells(placed, "key", "loose", F.lit(1), BLOCK).join(classes.select("id", "sig"), "id")
-    crossing = cut(_cross_group(_cells(open_rows), post, size))
-    spent = [shared, near, groups, crossing]
-    if crossing.take(1):
+    spent = [shared, near, groups]
+    ends, cells = near, in_cells(placed, "key", "loose", F.lit(1), BLOCK)
+    if cells is not None:
+        crossing = cut(_cross_group(_cells(cells.join(classes.select("id", "sig"), "id")), post, size))
         groups = star_components(groups.toDF("a", "b").union(crossing), "a", "b")
-        spent.append(groups)
+        ends = ends.union(crossing.withColumn("equal", F.lit(0)))
+        spent += [crossing, groups]
 
     # each member against its likeliest partner, then what that leaves apart inside a loose group
-    ends = near.union(crossing.withColumn("equal", F.lit(0)))
     ends = ends.union(ends.select("b", "a", "equal"))
     best = ends.groupBy(F.col("a").alias("id")).agg(F.max(F.struct("equal", F.bitwise_not("b").alias("flipped"))).alias("best"))
     best = best.select("id", F.bitwise_not("best.flipped").alias("hub"))
     sets = classes.select("id", "low", "d1", "n")
-    once = texts.join(repeated, "id", "left_anti")
-    many = texts.join(repeated, "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
-    full = once.union(many).withColumnRenamed("id", "low")
+    full = texts.withColumnRenamed("id", "low")
+    if repeated.take(1):
+        once = texts.join(repeated, "id", "left_anti")
+        many = texts.join(repeated, "id", "left_semi").groupBy("id", F.xxhash64("text")).agg(F.first("text").alias("text")).select("id", "text")
+        full = once.union(many).withColumnRenamed("id", "low")
 
     def linked_in(cells: DataFrame) -> DataFrame:
         out = cut(_exact_links(_cells(cells.join(sets.drop("n"), "id").join(full, "low").drop("low")), words, pct))
@@ -378,21 +385,26 @@ def near_duplicate_classes(
     joined = star_components(links, "a", "b")
     apart = groups.withColumnRenamed("component", "loose").join(sets.select("id", "n"), "id").join(joined, "id", "left")
     apart = apart.select("id", "loose", "n", F.coalesce("component", "id").alias("label"))
-    rest = linked_in(in_cells(apart, "loose", "label", F.col("n") + SET_WEIGHT, CELL).select("id", "cell", "visitor", "label"))
-    held = known.join(several.select("id"), "id").where("n > 0").select(F.col("id").alias("doc"), *digest).distinct()
-    held = held.join(classes.select(*digest, "id"), digest).select("doc", "id")
-    bridges = meet(held, "doc", held.groupBy("doc").agg(F.min("id").alias("first"))).select("first", "id")
-    linked = star_components(joined.toDF("a", "b").union(rest).union(bridges), "a", "b")
+    more, cells = [], in_cells(apart, "loose", "label", F.col("n") + SET_WEIGHT, CELL)
+    if cells is not None:
+        more.append(linked_in(cells.select("id", "cell", "visitor", "label")))
+    is_odd = bool(several.take(1))
+    if is_odd:
+        held = known.join(several.select("id"), "id").where("n > 0").select(F.col("id").alias("doc"), *digest).distinct()
+        held = held.join(classes.select(*digest, "id"), digest).select("doc", "id")
+        more.append(meet(held, "doc", held.groupBy("doc").agg(F.min("id").alias("first"))).select("first", "id"))
+    linked = joined if not more else star_components(reduce(DataFrame.union, more, joined.toDF("a", "b")), "a", "b")
 
     by_class = classes.select(*digest, "id", "low").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     lows = by_class.groupBy("component").agg(F.min("low").alias("component_id"))
     by_class = cut(by_class.join(lows, "component").select(*digest, "component_id"))
-    # an empty row of an id that has a set elsewhere belongs to that document
-    of_id = cut(known.join(several.select("id"), "id").where("n > 0").join(by_class, digest).groupBy("id").agg(F.min("component_id").alias("of_id")))
+    mine = rough.select("id", *digest).join(by_class, digest, "left")
+    if is_odd:  # an empty row of an id that has a set elsewhere belongs to that document
+        of_id = cut(known.join(several.select("id"), "id").where("n > 0").join(by_class, digest).groupBy("id").agg(F.min("component_id").alias("of_id")))
+        mine = mine.join(of_id, "id", "left").withColumn("component_id", F.coalesce("component_id", "of_id"))
     for table in (*spent, joined, linked, classes, repeated):
         drop(table)
-    mine = rough.select("id", *digest).join(by_class, digest, "left").join(of_id, "id", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "of_id", "id"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return mine.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
@@ -404,6 +416,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, the one with the smallest id; five-word shingles, similarity 0.8."""
+    """Pipeline: one document of each group stays, the one with the smallest id; five-word shingles, similarity 0.8.
+
+    Rows that share an id are one document and stay or go together; rows without an id
+    or without words stay; other columns pass through; an empty table stays empty.
+    """
     gone = near_duplicate_classes(docs, words=5, pct=80, bands=40).where("id <> component_id").select(F.col("id").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
