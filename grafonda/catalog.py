@@ -46,8 +46,8 @@ def transitions(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def weighted_transitions(spark: SparkSession, sf_dir: str) -> Graph:
-    g = transitions(spark, sf_dir)
-    return Graph(g.vertices, cut(g.edges.withColumn("weight", (1 + F.pmod(F.col("src") * 3 + F.col("dst"), F.lit(5))).cast("int"))))
+    arcs = transitions(spark, sf_dir).edges
+    return Graph.from_edges(cut(arcs.withColumn("weight", (1 + F.pmod(F.col("src") * 3 + F.col("dst"), F.lit(5))).cast("int"))), weight="weight")
 
 
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:

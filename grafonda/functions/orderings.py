@@ -31,8 +31,21 @@ def delta(width: int = 10, field: str = "cand") -> Ordering:
     return lambda: F.floor(F.col(field) / width).cast("bigint")
 
 
+class ByVertex:
+    """An ordering whose bucket column is made of id alone: a vertex is always in the same class.
+
+    Where the loop runs it in parts (`plans/blocks.py`), the order holds inside each part.
+    """
+
+    def __init__(self, bucket: Ordering) -> None:
+        self.bucket = bucket
+
+    def __call__(self) -> Column | None:
+        return self.bucket()
+
+
 def vertex_delta(width: int = 10) -> Ordering:
-    return delta(width, "id")
+    return ByVertex(delta(width, "id"))
 
 
 def level() -> Ordering:

@@ -16,24 +16,25 @@ from grafonda.plans.scratch import cut, drop
 
 
 class Falling:
-    """base(id, value) with a row for each id; a value may be a struct, null means none yet."""
+    """base(id, value) with a row for each id; a value may be a struct, null means none yet; other columns, if named, go with the id."""
 
     #: Tables that are read side by side before a merge.
     MOST = 16
 
-    def __init__(self, base: DataFrame) -> None:
-        self.base = cut(base.select("id", "value"))
+    def __init__(self, base: DataFrame, *others: str) -> None:
+        self.keys = ("id", *others)
+        self.base = cut(base.select(*self.keys, "value"))
         self.size = self.base.count()
         self.added: list[DataFrame] = []
         self.late: list[DataFrame] = []  # merged, but the last change may still be read as what is pending
         self.rows = 0
 
     def _all(self) -> DataFrame:
-        return reduce(DataFrame.union, [x.select("id", "value") for x in self.added], self.base)
+        return reduce(DataFrame.union, [x.select(*self.keys, "value") for x in self.added], self.base)
 
     def table(self) -> DataFrame:
         """(id, value) of every id."""
-        return self._all().groupBy("id").agg(F.min("value").alias("value")) if self.added else self.base
+        return self._all().groupBy(*self.keys).agg(F.min("value").alias("value")) if self.added else self.base
 
     def of(self, ids: DataFrame) -> DataFrame:
         """(id, value) of those ids alone; `ids` should be a written table, so that a small one is sent to the values."""

@@ -18,7 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grafonda.functions.orderings import Ordering, chaotic
+from grafonda.functions.orderings import ByVertex, Ordering, chaotic
+from grafonda.plans import blocks
 from grafonda.plans.deltas import Falling
 from grafonda.plans.scratch import cut, drop
 
@@ -66,8 +67,12 @@ def fixpoint(
     slack(round), rounds from 0, lets buckets up to that much above the lowest run too.
     With `light`, a condition on weight, items send along light arcs only while their
     bucket is being drained; what the bucket settled then sends along the other arcs
-    once.  Without `max_rounds` the loop ends when nothing is pending.
+    once.  Without `max_rounds` the loop ends when nothing is pending.  Orderings of
+    vertices are drained in parts (`blocks`), unless slack, light or stats ask for one
+    bucket at a time.
     """
+    if isinstance(ordering, ByVertex) and slack is None and light is None and stats is None and blocks.takes(start.schema["cand"].dataType):
+        return blocks.drained(vertices, edges, start, message, ordering=ordering, max_level=max_level, max_rounds=max_rounds)
     bucket_of = (ordering or chaotic())()
     bucket = F.lit(0).cast("bigint") if bucket_of is None else bucket_of
     weight = F.col("weight") if "weight" in edges.columns else F.lit(1)

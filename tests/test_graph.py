@@ -77,6 +77,48 @@ def test_rounds_write_the_frontier_only(spark, monkeypatch):
     assert written[0] == n - 1 and max(written[1:]) == 1
 
 
+def test_vertex_buckets_are_drained_in_parts(spark, monkeypatch):
+    """A path that jumps between buckets of vertices takes a round for each part it enters, not for each arc."""
+    from grafonda.plans import blocks, fixpoint
+
+    n, rounds = 24, []
+    path = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    g = graph(spark, list(zip(path, path[1:])), n + 1)
+
+    def counted(df, *columns):
+        rounds.append(1)
+        return keep(df, *columns)
+
+    keep = blocks.cut
+    for module in (blocks, fixpoint):  # every round writes a table at least
+        monkeypatch.setattr(module, "cut", counted)
+    assert values(traversal.sssp(g, source(spark), orderings.vertex_delta(3)), "dist") == {v: i for i, v in enumerate(path)} | {n: None}
+    assert len(rounds) < 10
+
+
+def test_parts_of_vertex_buckets_give_the_same_distances(spark, monkeypatch):
+    from grafonda.plans import blocks
+
+    rng = random.Random(5)
+    arcs = [(rng.randrange(14), rng.randrange(14), rng.choice([0, 1, 2, 9, 2**30])) for _ in range(26)]
+    odd = [(0, 1, None), (0, 77, 1), (77, 2, 0)]  # without a weight, to and from no vertex
+
+    def nearest(cost):
+        found = {0: 0, 7: 0}
+        for _ in range(16):
+            for a, b, w in arcs:
+                if a in found:
+                    found[b] = min(found.get(b, found[a] + cost(w)), found[a] + cost(w))
+        return {v: found.get(v) for v in range(16)}
+
+    two = spark.createDataFrame([(0,), (7,)], "id long")
+    monkeypatch.setattr(blocks, "PART_ROWS", 25)
+    g = Graph(spark.range(16), spark.createDataFrame(arcs + odd, "src long, dst long, weight int"))
+    assert values(traversal.sssp(g, two, orderings.vertex_delta(4)), "dist") == nearest(lambda w: w)
+    g = Graph(spark.range(16), spark.createDataFrame(arcs, "src long, dst long, weight int"))
+    assert values(traversal.bfs(g, two, orderings.vertex_delta(4), max_level=2), "level") == {v: x if x is not None and x <= 2 else None for v, x in nearest(lambda w: 1).items()}
+
+
 def test_random_graph_against_dijkstra(spark):
     rng = random.Random(1)
     arcs = [(rng.randrange(60), rng.randrange(60), rng.randint(0, 20)) for _ in range(150)]
